@@ -59,3 +59,18 @@ def ranked(df: DataFrame, group: str, order: list[str], bucket: Column, out: str
     numbered = rows.withColumn("__r", F.row_number().over(inside))
     joined = numbered.join(starts, (F.col(group) == F.col("__g")) & (F.col("__b") == F.col("__gb")))
     return joined.withColumn(out, F.col("__start") + F.col("__r") - 1).drop("__b", "__g", "__gb", "__start", "__r")
+
+
+def small_batches(batches, sizes, limit: int = 4 << 20):
+    """Slice Arrow batches so that the column ``sizes`` holds about ``limit`` bytes in each slice."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column(sizes)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths.astype(np.int64) + 64) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import bpe, exact_dedup, langid, line_dedup, minhash, packing, sharding, url_filter
+from trialweave.llm import bpe, exact_dedup, html_extract, jpeg_media, langid, line_dedup, minhash, packing, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg_media.media_features(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
@@ -50,7 +58,9 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
+    "op4_jpeg_media": op4_jpeg_media,
     "op5_packing": op5_packing,
+    "op6_html_extract": op6_html_extract,
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe": op9_bpe,

@@ -18,8 +18,10 @@ MINIMA, ROWS, BITS = 256, 5, 4
 BANDS = MINIMA // ROWS
 #: Distinct sets in a bucket whose pairs are all compared; beyond that, the bucket is refined.
 ALL_PAIRS = 16
-#: Members of a larger bucket that all its others are compared with, at each level of refinement.
-PIVOTS = 4
+#: Each larger bucket's members are compared with this many central ones and one drawn by hash, at
+#: each level of refinement.  Central are those whose buckets hold the most others; near copies of
+#: one text all resemble its least changed copies, so these connect a group that others do not.
+CENTRAL = 3
 #: Consecutive bands that agree in the buckets of each level of refinement.
 REFINED = (2, 4)
 #: Standard deviations by which an estimate may fall short of ``SIMILAR`` before its pair is dropped.
@@ -144,15 +146,18 @@ def _pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     few, many = shared.filter(F.col("size") <= ALL_PAIRS), shared.filter(F.col("size") > ALL_PAIRS).drop("size")
     left, right = few.select("key", F.col("id").alias("a")), few.select(F.col("key").alias("k"), F.col("id").alias("b"))
     near = left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b"))).select("a", "b")
-    chosen = many.groupBy("key").agg(F.array(*[
-        F.min(F.struct(F.xxhash64(F.lit(j), "key", "id").alias("h"), "id"))["id"] for j in range(PIVOTS)]).alias("p"))
+    weight = shared.groupBy("id").agg(F.sum("size").alias("weight")).withColumnRenamed("id", "i")
+    lot = F.xxhash64("id")
+    central = [F.max(F.when(F.pmod(lot, F.lit(CENTRAL)) == j, F.struct("weight", "id")))["id"] for j in range(CENTRAL)]
+    chosen = many.join(weight, F.col("id") == F.col("i")).groupBy("key").agg(
+        F.array_compact(F.array(*central, F.min(F.struct(lot.alias("h"), "id"))["id"])).alias("p"))
     stars = many.join(chosen.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("id", F.explode(F.array_distinct("p")).alias("p"))
     stars = stars.filter("id != p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
     return near.union(stars), many
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs of ids that share a band, as far as :data:`ALL_PAIRS` and :data:`PIVOTS` go.
+    """Pairs of ids that share a band, as far as :data:`ALL_PAIRS` and :data:`CENTRAL` go.
 
     Members of large buckets meet again in the buckets of two consecutive bands, and those
     of such that are still large in buckets of four, and are treated alike at each level.
@@ -248,8 +253,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     buckets of equal bands; a pair goes on if its packed signatures agree in enough bits,
     and counts only if its full sets confirm it.  First each row's most promising pair is
     confirmed; then all pairs that still connect different components.  A bucket of more
-    than ``ALL_PAIRS`` distinct sets compares its members with ``PIVOTS`` of them, at each
-    of two levels of refinement.
+    than ``ALL_PAIRS`` distinct sets compares its members with ``CENTRAL + 1`` of them, at
+    each of two levels of refinement.
 
     ``component_id`` is the smallest id reachable over links, ``kept`` says that it is the
     row's own.  An empty text, a blank one or null has no shingles and is linked with

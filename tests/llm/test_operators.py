@@ -1,0 +1,357 @@
+"""Each operator against a brute-force version, and on nulls, empties, ties, repeats and clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from trialweave.llm import bpe, exact_dedup, html_extract, jpeg_media, langid, line_dedup, minhash, packing, queries, sharding, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, id string, run int, key string, t string"
+ODD = [
+    (1, "one two three four five six seven", "en"), (2, "One  two three four\tfive six seven", "en"), (3, None, None), (4, "", "de"), (5, " \n", "fr"),
+    (6, "x" * 5000, "en"), (6, "x" * 5000, "en"), (None, "no id here at all", "en"), (8, "a\nb\nc\nd", "es"), (9, "z\na\nb\nc", "es"), (10, "ünïcode Ⅷ 一二三 😀 <|endoftext|>", "fr"),
+    (11, "word " * 30000, "en"), (12, "One two three four five sixseven", "en")]
+
+
+def docs(spark, rows=ODD):
+    return spark.createDataFrame([(i, t, lang, "s", 0, "d", "i", 1, "k", "t") for i, t, lang in rows], DOCS)
+
+
+ALL = {
+    "near": lambda d: minhash.near_dedup(d), "lang": lambda d: langid.language_id(d), "media": lambda d: jpeg_media.media_features(d), "pack": lambda d: packing.pack(d),
+    "lines": lambda d: line_dedup.line_dedup(d), "exact": lambda d: exact_dedup.exact_dedup(d), "bpe": lambda d: bpe.encode_digests(d), "shard": lambda d: sharding.shard(d)}
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_empty_table(spark, name):
+    assert ALL[name](docs(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_odd_rows_all_come_back(spark, name):
+    out = ALL[name](docs(spark)).collect()
+    whole = [r for r in out if "piece" not in r.asDict() or r["piece"] == 0]
+    assert Counter(r["doc_id"] for r in whole) == Counter(i for i, _, _ in ODD)
+
+
+def test_exact(spark):
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs(spark)).collect()}
+    assert got[12].keep_id == 2 and not got[12].kept
+    groups = defaultdict(list)
+    for i, t, _ in ODD:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-(len(t or "")), i is None, i or 0, i))
+    for norm, members in groups.items():
+        best = min(members)[3]
+        for m in members:
+            r = got[m[3]]
+            assert (r.keep_id, r.group_size, r.kept) == (best, len(members), m[3] == best)
+            assert r.text_sha256 == hashlib.sha256(norm.encode()).hexdigest()
+    left = exact_dedup.drop_copies(docs(spark))
+    assert set(left.columns) == set(docs(spark).columns) and left.filter("doc_id = 12").count() == 0 and left.count() == sum(r.kept for r in exact_dedup.exact_dedup(docs(spark)).collect())
+
+
+def brute_shards(i, tree):
+    import math
+
+    key = "null" if i is None else str(i)
+    while tree.children:
+        tree = min(tree.children, key=lambda c: -math.log((int(hashlib.md5(f"{c.name}|{key}".encode()).hexdigest()[:13], 16) + 1) / (2**52 + 1)) / c.total())
+    return tree.shard
+
+
+def test_sharding(spark):
+    rows = [(i, "é" * (i % 7), "en") for i in range(3000)] + [(None, None, None)]
+    got = sharding.shard(docs(spark, rows)).collect()
+    tree = sharding.even_tree(2, 3, 4)
+    text = {i: t or "" for i, t, _ in rows}
+    for r in got:
+        b = text[r.doc_id].encode()
+        assert (r.shard, r.size, r.text_crc32) == (brute_shards(r.doc_id, tree), len(b) + 8, zlib.crc32(b))
+        assert r.grown_shard in (r.shard, 24)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 24
+    assert 0.5 / 25 < sum(r.grown_shard == 24 for r in got) / len(got) < 2 / 25
+
+
+def test_weights_move_only_into_their_subtree(spark):
+    a = sharding.even_tree(2, 2, 2)
+    g0, g1 = a.children
+    heavy = sharding.Node("root", children=(g0, sharding.Node("g1", children=(g1.children[0], sharding.Node("g1r1", children=(g1.children[1].children[0], sharding.Node("g1r1s1", 3.0, shard=7)))))))
+    d = docs(spark, [(i, "", None) for i in range(2000)])
+    one, two = ({r.doc_id: r.shard for r in sharding.shard(d, t).collect()} for t in (a, heavy))
+    assert {two[i] // 4 for i in one if one[i] != two[i]} == {1}
+    assert all(one[i] == two[i] for i in one if two[i] < 4)
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme", "http://EXAMPLE.com/en/71?x", "http://a.example.com/en/8", "http://com/en/", "http://notexample.net/de/8", "http://x.example.net/de/80#a",
+            "s://example.net/de/7", "http://example.org", "http://b.org/es/?q=://x/", "x://y://z/w", "http://a..com/en/1", "http://example.com./en/7", "http://u:p@example.com:80/en/7"]
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)] + [(3, urls[3], "h", "r")], "page_id long, url string, host string, rule string")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, url_filter.rules_table(spark)).collect()}
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else None
+        raw = re.match(r"[^/?#]*", rest)[0] if rest is not None else ""
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in raw)
+        path = re.match(r"[^?#]*", rest[len(raw):])[0] if rest is not None else ""
+        fits = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, None, "allow"))
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, best[1], best[2]), u
+    assert url_filter.judge_urls(pages, url_filter.rules_table(spark, []).filter("false")).filter("verdict != 'allow'").count() == 0
+
+
+def brute_lines(rows, span=3):
+    seen, gone = {}, defaultdict(set)
+    order = sorted({(i is None, i or 0, t) for i, t in rows if t is not None})
+    for none, i, t in order:
+        lines = t.split("\n")
+        for p in range(len(lines) - span + 1):
+            w = "\n".join(lines[p:p + span])
+            if not re.search(r"[^\x20\x09-\x0D]", w):
+                continue
+            at = (none, i, p)
+            if seen.setdefault(w, at) != at:
+                gone[none, i] |= set(range(p, p + span))
+    return {(none, i): "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[none, i]) for none, i, t in order}
+
+
+def test_lines(spark):
+    rng = random.Random(3)
+    rows = [(i, "\n".join(rng.choice("abcd ") for _ in range(rng.randint(1, 12)))) for i in range(200)] + [(i, t) for i, t, _ in ODD if i and i > 6]
+    rows = [(i if k < 200 else 1000 + i, t) for k, (i, t) in enumerate(rows)] + [(None, "q\nr\ns\nq\nr\ns"), (-5, None)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, [(*r, None) for r in rows])).collect()}
+    for (none, i), text in brute_lines(rows).items():
+        assert got[None if none else i].text == text
+    assert got[-5].text is None and got[-5]["__n_lines"] == 0
+
+
+def brute_near(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1:]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def copies(seed, n, words, edits, vocabulary=2000):
+    rng = random.Random(seed)
+    v = [f"w{k}" for k in range(vocabulary)]
+    base = [rng.choice(v) for _ in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(words)] = rng.choice(v)
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_copies(spark):
+    texts = copies(1, 60, 150, 6) + copies(2, 9, 80, 2) + ["a b", "A  b", "a", None, "", " \n", "É b c d e", "é b c d e"] + copies(3, 5, 4000, 40)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in minhash.near_dedup(docs(spark, [(*r, None) for r in rows])).collect()}
+    for i, (n, root) in brute_near(rows).items():
+        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, root, i == root)
+
+
+def test_near_copies_in_a_large_group(spark):
+    """Buckets beyond ALL_PAIRS: nearly every component is found whole, and none is made up."""
+    rows = list(enumerate(copies(4, 500, 150, 4)))
+    got = {r.doc_id: r.component_id for r in minhash.near_dedup(docs(spark, [(*r, None) for r in rows])).collect()}
+    want = {i: root for i, (_, root) in brute_near(rows).items()}
+    assert sum(got[i] != want[i] for i in want) <= 0.01 * len(want)
+    assert all(want[got[i]] == want[i] for i in want)
+
+
+def test_bit_estimate():
+    rng = np.random.default_rng(0)
+    pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    for share in (0.3, 0.75, 0.95):
+        n = 1000
+        k = round(2 * n * share / (1 + share))
+        a, b = pool[:n], np.concatenate([pool[:k], pool[n:2 * n - k]])
+        x, y = (minhash.packed(minhash.signature(s)).view(np.uint64) for s in (a, b))
+        same = sum(((int(p) ^ int(q)) >> (4 * i)) & 15 == 0 for p, q in zip(x, y) for i in range(16))
+        estimate = (same / 256 - 1 / 16) / (1 - 1 / 16)
+        assert abs(estimate - share) < 0.13
+    assert 150 < minhash.least_agreeing() < 180
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_path())
+
+
+def test_bpe_equals_the_library(spark):
+    rng = random.Random(7)
+    alphabet = "abcXYZ'stm  \t\n\x0b\x1c\x1f\x85\u00a0\u3000éÉéΣσςİıßÅ一二🎉🏽٣Ⅷ½²_-!?<|endoftext|>'llǅĳ"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)] + [t for _, t, _ in ODD if t] + ["<|startoftext|>a<|endoftext|>", "a" * 3000, "I'M 'S don't"]
+    tool, own = library(), bpe.WordBpe(bpe.default_path())
+    for t in texts:
+        ids = tool.encode(t, add_special_tokens=False).ids
+        assert own.encode(t).tolist() == ids, t[:80]
+        assert own.decode(ids) == tool.decode(ids, skip_special_tokens=False)
+    got = {r.doc_id: r for r in bpe.encode_digests(docs(spark)).collect()}
+    for i, t, _ in ODD:
+        ids = tool.encode(t or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(tool.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_blocks(monkeypatch):
+    text = " ".join(f"word{k} naïve" for k in range(400))
+    whole = bpe.WordBpe(bpe.default_path()).encode(text).tolist()
+    monkeypatch.setattr(bpe, "BLOCK", 50)
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    assert bpe.WordBpe(bpe.default_path()).encode(text).tolist() == whole
+
+
+def test_packing(spark):
+    got = packing.pack(docs(spark), capacity=64).collect()
+    tool = library()
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    pieces = {(r.doc_id, r.piece): r for r in got}
+    for i, t, _ in ODD:
+        ids = tool.encode(t or "", add_special_tokens=False).ids + [0]
+        for k in range(0, len(ids), 64):
+            part = ids[k:k + 64]
+            r = pieces[i, k // 64]
+            assert (r.start, r.length, r.ids_crc32) == (k, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))
+
+
+def test_plan_is_close_to_the_bound():
+    rng = random.Random(1)
+    for _ in range(20):
+        counts = Counter(rng.choice((rng.randint(1, 100), rng.randint(1, 2048))) for _ in range(3000))
+        entries = packing.plan(dict(counts))
+        bins, placed = defaultdict(int), Counter()
+        for length, rank, items, each, first, offset in entries:
+            for i in range(items):
+                bins[first + i // each] += length
+            placed[length] += items
+        assert placed == counts and max(bins.values()) <= 2048
+        assert len(bins) <= 1.02 * -(-sum(k * n for k, n in counts.items()) // 2048) + 1
+
+
+def test_language_accuracy(spark):
+    out = queries.op3_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").toPandas()
+    held = out[out.held_out]
+    assert len(held) > 200 and (held.lang == held.lang_pred).mean() > 0.97
+    assert out.score.between(0, 1).all() and out.rejected.mean() < 0.01
+    assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in zip(out.doc_id, out.held_out))
+
+
+def test_language_without_letters(spark):
+    rows = [(i, t, lang) for i in range(40) for t, lang in (("the house and the garden", "en"), ("das Haus und der Garten", "de"))]
+    rows = [(k, t, lang) for k, (_, t, lang) in enumerate(rows)] + [(900, None, "en"), (901, "12 34 !", "de"), (902, "", None), (903, "١٢", None), (904, "一二三四五", None)]
+    got = {r.doc_id: r for r in langid.language_id(docs(spark, rows)).collect()}
+    assert {got[k].lang_pred for k in (900, 901, 902, 903)} == {"und"} and all(got[k].rejected for k in (900, 901, 902, 903, 904))
+    assert got[0].lang_pred == "en" and got[1].lang_pred == "de" and got[904].lang_pred != "und"
+
+
+def test_media(spark):
+    got = {r.doc_id: r for r in jpeg_media.media_features(docs(spark)).collect()}
+    for i, t, _ in ODD:
+        raw = (t or "").encode()
+        payload = raw + b" " * ((-len(raw) % 192) if raw else 192)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-16:])
+        media = jpeg_media.store([t])[1][0]
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert media[:2] == b"\xff\xd8" and media[-2:] == b"\xff\xd9" and r.feature.startswith("1536x")
+
+
+def test_media_of_any_bytes_and_sizes(monkeypatch):
+    rng = np.random.default_rng(1)
+    images = [rng.integers(0, 256, (n, 192), dtype=np.uint8) for n in (1, 2, 9, 30)] + [np.zeros((3, 192), np.uint8), np.full((3, 192), 255, np.uint8)]
+    back = jpeg_media.read_images(jpeg_media.write_images(images))
+    assert all((a == b[0]).all() for a, b in zip(images, back))
+    monkeypatch.setattr(jpeg_media, "MOST_ROWS", 2)
+    media = jpeg_media.store(["y" * 1000])[1][0]
+    assert len(jpeg_media.read_images([media])[0]) == 3 and jpeg_media.features(media)["payload_bytes"] == 1152
+
+
+def test_media_reads_foreign_tables():
+    """A hand-made 16 x 8 image with other tables, AC coefficients and no restart intervals."""
+    dc, ac = {0: 2, 3: 2, 5: 3}, {0x00: 2, 0x01: 2, 0xF0: 4, 0x21: 3}
+    d, a = jpeg_media.canonical(dc), jpeg_media.canonical(ac)
+    bits = ""
+
+    def put(code, size=0, value=0):
+        nonlocal bits
+        bits += f"{code[0]:0{code[1]}b}" + (f"{value:0{size}b}" if size else "")
+
+    put(d[5], 5, 20), put(a[0x01], 1, 1), put(a[0xF0]), put(a[0x21], 1, 0), put(a[0x00])  # difference 20
+    put(d[3], 3, 2), put(a[0x00])  # difference 2 - 7 = -5
+    bits += "1" * (-len(bits) % 8)
+    scan = bytes(int(bits[i:i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    data = (b"\xff\xd8\xff\xe0\x00\x04ab\xff\xdb\x00\x43\x00" + bytes([16] * 64) + b"\xff\xc0\x00\x0b\x08\x00\x08\x00\x10\x01\x01\x11\x00" + jpeg_media.table_segment(0, dc)
+            + jpeg_media.table_segment(0x10, ac) + b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00" + scan + b"\xff\xd9")
+    assert jpeg_media.read_images([data])[0][0].tolist() == [[128 + 40, 128 + 30]]
+
+
+PAGE = """<html><head><title>T</title><script>var a="</p><p>no</p>"</script></head><body class="page ad-page"><header><h1>Site</h1><a href=/>Home</a></header><div id="cookie-notice">We use cookies.</div>
+<div class="sidebar"><p>Related long text that is here for long, with many words in it to fool you. Yes it is.</p></div><main><article><header><h1>Title &amp; more</h1></header><p>One <i>two</i>three
+&#8212; <a href=x>link</a>.</p><!-- <p>hidden</p> --><div class="advert">Buy now, it is very cheap. Long text long text long text long text.</div><p>Short.<ul><li>item a<li>item b</ul>
+<form><label>Mail</label><input></form><section class="comments"><article class="comment"><p>Nice article, I like it a lot. Really really good piece of writing.</p></article></section></article></main><footer>&copy; x</footer></body>"""
+
+
+def test_pages(spark):
+    assert html_extract.main_text(PAGE) == "Title & more One twothree — link. Short. item a item b"
+    assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<p></p>") == ""
+    cut = html_extract.main_text(PAGE[:PAGE.index("Short.")])
+    assert cut.endswith("link.")
+    rows = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x")], "page_id long, url string, html string, text string")
+    got = html_extract.extract(rows).collect()
+    assert len(got) == 3 and all(r.n_chars == len(r.text) for r in got)
+    assert html_extract.extract(rows.limit(0)).collect() == []
+
+
+def test_cut_is_minimal():
+    rng = random.Random(2)
+    for _ in range(60):
+        n = rng.randint(1, 9)
+        lean = [rng.randint(-9, 9) for _ in range(n)]
+        links = [(a, b, rng.randint(1, 6)) for a in range(n) for b in range(a) if rng.random() < 0.4]
+
+        def cost(keep):
+            return sum(max(v, 0) if not k else max(-v, 0) for v, k in zip(lean, keep)) + sum(c for a, b, c in links if keep[a] != keep[b])
+
+        best = min(cost([x >> i & 1 for i in range(n)]) for x in range(1 << n))
+        assert cost(html_extract.minimum_cut(lean, links)) == best
+
+
+def test_pages_without_an_article():
+    page = "<div>A long paragraph of text without an article, which is really the content. It has several sentences.</div><ul><li><a>x</a><li><a>y z</a></ul><p>More text of content here.</p>"
+    text = html_extract.main_text(page)
+    assert text.startswith("A long paragraph") and "y z" not in text

@@ -48,7 +48,7 @@ def phi(z: Column) -> Column:
         safe = F.greatest(y, F.lit(INNER))
         shape, middle, far = _upper(safe, F.exp, lambda v: F.floor(v * 16.0) / 16.0)
         tail = shape * F.when(safe <= MIDDLE, middle).otherwise(far)
-        return F.when(y <= INNER, inner).when(x < 0, tail).otherwise(1.0 - tail)
+        return F.when(y <= INNER, inner).when(x < 0, tail).when(x >= 0, 1.0 - tail)
 
     clean = F.when(z.isNotNull() & ~F.isnan(z), F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0)))
     return let(clean, at)

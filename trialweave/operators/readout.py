@@ -154,7 +154,7 @@ def clip_to_budget(results: DataFrame, points: int, by: list[str] | None = None)
 def scoreboard(results: DataFrame) -> DataFrame:
     """The headline table: latest row per series and a verdict at its own level."""
     row = latest(results)
-    verdict = (F.when("insufficient_data", "insufficient_data").when(F.col("decision_blocked") | F.col("srm_flag"), "blocked")
+    verdict = (F.when(F.col("insufficient_data"), "insufficient_data").when(F.col("decision_blocked") | F.col("srm_flag"), "blocked")
                .when(~F.col("is_horizon") & (F.col("ci_kind") == "fixed"), "running").when(~F.coalesce("reject", F.lit(False)), "no_difference")
                .when(F.col("effect") > 0, "up").otherwise("down"))
     return row.select(*SERIES, "is_main_metric", "is_guardrail", "end_ts", "effect", "left_bound", "right_bound", "pvalue", "alpha", verdict.alias("verdict"))

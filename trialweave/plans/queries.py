@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trialweave.functions import identity, power
 from trialweave.functions.columns import div, rounded
 from trialweave.functions.normal import critical, two_sided
+from trialweave.functions.scratch import saved
 from trialweave.functions.score import with_score_interval
 from trialweave.operators import calibrate, closed_form, corrections, readout, resample, state
 from trialweave.operators import cohort as cohorts
@@ -391,7 +392,7 @@ def always_valid_series(spark, d):
 
 def judged(spark, d, **changes) -> DataFrame:
     sign = F.when(F.col("reject"), F.signum("effect").cast("int")).otherwise(0)
-    return results(spark, d, **changes).withColumns({"significant": F.coalesce("reject", F.lit(False)), "sign": sign, "mde": F.lit(None).cast("double")})
+    return saved(results(spark, d, **changes)).withColumns({"significant": F.coalesce("reject", F.lit(False)), "sign": sign, "mde": F.lit(None).cast("double")})
 
 
 _VERDICT = f"""WITH {RESULTS}, {LATEST},
@@ -425,13 +426,13 @@ SELECT metric, leader, array_to_string(winners, ',') AS winners, array_to_string
   CASE WHEN leader IS NULL THEN 'no_leader' WHEN len(winners) = 1 THEN 'separated'
        WHEN EXISTS (SELECT 1 FROM v WHERE v.metric = w.metric AND name_1 <> 'control' AND (verdict = 'WIN' AND name_2 = leader OR verdict = 'LOSE' AND name_1 = leader)) THEN 'separated' ELSE 'co_leaders' END AS separation FROM w""")
 def metric_rollup(spark, d):
-    out = readout.rollup(readout.verdicts(judged(spark, d), "control"), "control", list(VARIANTS))
+    out = readout.rollup(saved(readout.verdicts(judged(spark, d), "control")), "control", list(VARIANTS))
     return out.withColumns({c: F.array_join(c, ",") for c in ("winners", "losers")})
 
 
 @query("SELECT NULL::BOOLEAN AS leaders_agree")
 def leaders_agree(spark, d):
-    return readout.leaders_agree(readout.rollup(readout.verdicts(judged(spark, d), "control"), "control", list(VARIANTS)))
+    return readout.leaders_agree(readout.rollup(saved(readout.verdicts(judged(spark, d), "control")), "control", list(VARIANTS)))
 
 
 _BOARD = "CASE WHEN insufficient_data THEN 'insufficient_data' WHEN decision_blocked OR srm_flag THEN 'blocked' WHEN NOT is_horizon AND ci_kind = 'fixed' THEN 'running' WHEN NOT coalesce(reject, FALSE) THEN 'no_difference' WHEN effect > 0 THEN 'up' ELSE 'down' END AS verdict"

@@ -92,7 +92,7 @@ def test_weights_move_only_into_their_subtree(spark):
 
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.com/en/71?x", "http://a.example.com/en/8", "http://com/en/", "http://notexample.net/de/8", "http://x.example.net/de/80#a",
-            "s://example.net/de/7", "http://example.org", "http://b.org/es/?q=://x/", "x://y://z/w", "http://a..com/en/1", "http://example.com./en/7", "http://u:p@example.com:80/en/7"]
+            "s://example.net/de/7", "http://example.org", "http://b.org/es/?q=://x/", "x://y://z/w", "http://a..com/en/1", "http://example.com./en/7", "http://u:p@example.com:80/en/7", "http://a.com/en/" + "x" * 100_000, "y" * 100_000 + "://b.org/es/"]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)] + [(3, urls[3], "h", "r")], "page_id long, url string, host string, rule string")
     got = {r.page_id: r for r in url_filter.judge_urls(pages, url_filter.rules_table(spark)).collect()}
     for i, u in enumerate(urls):

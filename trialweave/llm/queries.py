@@ -39,7 +39,7 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
+    return out.select("doc_id", F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_removed").cast("long").alias("n_removed"), "text")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,5 @@ ORACLES = {
     "op2_url_filter": url_filter.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op10_sharding": sharding.oracle(sharding.even_tree(2, 3, 4)),
 }

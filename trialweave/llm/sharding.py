@@ -113,3 +113,26 @@ def expected_share(tree: Node) -> dict[int, float]:
     """Each shard's expected share of the keys."""
     total = tree.total()
     return {x.shard: x.weight / total for x in leaves(tree)} if total and math.isfinite(total) else {}
+
+
+def _node_sql(node: Node) -> str:
+    """The shard below ``node`` as SQL: the least draw among its children, all the way down."""
+    if not node.children:
+        return str(node.shard)
+    draws = ", ".join(
+        f"{{'s': -ln((('0x' || substr(md5('{c.name}|' || key), 1, 13))::BIGINT + 1) / 4503599627370497.0) / {float(c.total())}, 'i': {_node_sql(c)}}}" for c in node.children)
+    return f"list_min([{draws}]).i"
+
+
+def oracle(tree: Node) -> str:
+    """The query as SQL; the checksum goes bit by bit, from each byte's lowest, over the reflected polynomial."""
+    return f"""
+WITH k AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, encode(coalesce(text, '')) AS raw FROM documents),
+b AS (SELECT *, string_split(CAST(CAST(raw AS BIT) AS VARCHAR), '') AS bits FROM k WHERE octet_length(raw) > 0),
+c AS (SELECT doc_id, key, octet_length(raw) + 8 AS size,
+      xor(list_reduce(list_transform(range(8 * octet_length(raw)), lambda i: bits[i - 2 * (i % 8) + 8]::BIGINT),
+          lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1)), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM b
+      UNION ALL SELECT doc_id, key, 8, 0 FROM k WHERE octet_length(raw) = 0),
+s AS (SELECT *, {_node_sql(tree)} AS shard, {_node_sql(with_shard(tree))} AS grown_shard FROM c)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key), 1, 2), key, size, text_crc32) - 1 AS slot, grown_shard FROM s
+"""

@@ -110,7 +110,7 @@ class Store:
             known = self.raw(table).select(*KEYS[table]).distinct()
             if on_conflict == "fail" and not df.join(known, KEYS[table], "left_semi").isEmpty():
                 raise ValueError(f"{table} has some of these keys")
-            df = df.join(known, KEYS[table], "left_anti")
+            df = _fit(df.join(known, KEYS[table], "left_anti"), df.schema)  # the join moves the keys to the front
         df.write.insertInto(self.name(table))
 
     def upsert(self, table: str, df: DataFrame) -> None:

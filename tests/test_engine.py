@@ -235,8 +235,7 @@ CONFIG = {
 
 def test_configured_run(spark, tmp_path):
     raw = dict(CONFIG)
-    e, metrics = ex.from_config(json.dumps(raw).replace('"2024-01-01"', '"2024-01-01"'))
-    e = ex.Experiment(**{**e.__dict__, "start": date(2024, 1, 1), "horizon": date(2024, 1, 5)})
+    e, metrics = ex.from_config(json.dumps(raw))
     c = assignment(spark, [(str(u), "ct"[u % 2], u % 5) for u in range(40)])
     out = ex.results(e, metrics, panel_rows(spark), c).collect()
     assert len(out) == 4 and all(r.mde_1 > 0 for r in out) and {r.alpha for r in out} == {0.05}
@@ -260,3 +259,38 @@ def test_reconcile(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None), (4, 1.0)], "k int, v double")
     b = spark.createDataFrame([(1, 1.0 + 1e-13), (2, 2.1), (3, None), (5, 1.0)], "k int, v double")
     assert {r.k: r.status for r in state.reconcile(a, b, ["k"], ["v"]).collect()} == {1: "equal", 2: "different", 3: "equal", 4: "only_a", 5: "only_b"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    """Run twice, reconcile, report, clean."""
+    from trialweave.__main__ import main
+    from trialweave.sources.tasks import acquire, active, release
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS cli")
+    config = tmp_path / "e.json"
+    config.write_text(json.dumps(CONFIG | {"mde_power": None}))
+    panel_rows(spark).write.parquet(str(tmp_path / "facts"))
+    assignment(spark, [(str(u), "ct"[u % 2], u % 5) for u in range(40)]).write.parquet(str(tmp_path / "cohort"))
+    where = [str(config), "--facts", str(tmp_path / "facts"), "--cohort", str(tmp_path / "cohort"), "--database", "cli"]
+    store = Store(spark, "cli")
+    assert main(["run", *where, "--now", "2024-01-03T12:00:00"]) == 0 and store.read("results").count() == 2
+    assert main(["run", *where]) == 0 and store.raw("results").count() == 4
+    assert main(["run", *where]) == 0 and store.raw("results").count() == 4
+    assert main(["reconcile", *where]) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1]) == {"equal": 4}
+    assert main(["report", "d", "--database", "cli"]) == 0 and len(json.loads(capsys.readouterr().out)["m"][0]["points"]) == 4
+    assert main(["report", "d", "--html", "--database", "cli"]) == 0 and "<table>" in capsys.readouterr().out
+    config.write_text(json.dumps(CONFIG | {"comparisons": [{"metric": "m", "method": "t-test"}]}))
+    assert main(["clean", str(config), "--database", "cli", "--execute"]) == 0 and store.raw("results").count() == 0
+    assert main(["plan", "--mean", "10", "--std", "5", "--per-day", "100", "--n", "500"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["required_n"] > 100
+    token = acquire(store, "x")
+    assert token and acquire(store, "x") is None and active(store, "x") and not release(store, "other", "x") and release(store, token, "x") and active(store, "x") is None
+
+
+def test_scanned_rows(spark, tmp_path):
+    from trialweave.sources.tasks import scanned_rows
+
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).groupBy((F.col("id") % 3).alias("k")).count()
+    df.collect()
+    assert scanned_rows(df) == 100

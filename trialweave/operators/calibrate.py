@@ -191,3 +191,17 @@ def recommend(cells: DataFrame, budget: float) -> DataFrame:
 def sign_lean(positive: Column, hits: Column) -> Column:
     """Whether hits lean to one side beyond three sigma, with at least 100 hits."""
     return F.when(hits >= 100, F.abs(positive - hits / 2.0) > 1.5 * F.sqrt(hits.cast("double"))).otherwise(F.lit(False))
+
+
+def run_records(cells: DataFrame, experiment: str, run_id: str, alpha: float, iterations: int, budget: float) -> DataFrame:
+    """Scored cells (``metric``, ``method_name``, rates) as audit rows with a plain verdict."""
+    inside = F.col("fpr") <= budget
+    verdict = F.when(F.col("fpr").isNull(), "no data").when(inside, F.format_string("within budget (%.4f <= %.4f)", F.col("fpr"), F.lit(budget))).otherwise(
+        F.format_string("over budget (%.4f > %.4f)", F.col("fpr"), F.lit(budget)))
+    return cells.withColumns({
+        "experiment": F.lit(experiment), "run_id": F.lit(run_id), "alpha": F.lit(alpha), "iterations": F.lit(iterations), "verdict": verdict, "status": F.lit("ok"),
+        "mode": F.lit("aa"), "details": F.to_json(F.struct("fpr"))})
+
+
+def fpr_budget(alpha: float, metric_budget: float | None = None, project_budget: float | None = None, headroom: float = 1.5) -> float:
+    return metric_budget or project_budget or headroom * alpha

@@ -232,3 +232,21 @@ def cooled(last: Column, signature: Column, last_signature: Column, seconds: int
 
 def finite_or_infinite(x: float) -> float | None:
     return x if math.isfinite(x) else None
+
+
+def ci_kinds(results: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The kinds of interval that each series carries over its judged rows; more than one asks for a new plan."""
+    by = by or SERIES
+    return results.filter(~F.col("insufficient_data")).groupBy(*by).agg(F.sort_array(F.collect_set("ci_kind")).alias("ci_kinds"))
+
+
+def backlog_seconds(results: DataFrame, due: DataFrame) -> DataFrame:
+    """How far the last computed look lies behind the last due one (not behind the clock, after the horizon)."""
+    done = results.agg(F.max("end_ts").alias("done"))
+    return due.agg(F.max("end_ts").alias("due")).crossJoin(done).select(F.timestamp_diff("SECOND", "done", "due").alias("backlog_seconds"))
+
+
+def signals(verdict: Column, srm_flag: Column, regressed: Column) -> Column:
+    """The kinds of signal that a verdict row raises."""
+    return F.array_compact(F.array(
+        F.when(verdict.isin("WIN", "LOSE", "FLAT"), F.lit("verdict")), F.when(srm_flag, F.lit("srm")), F.when(F.size(regressed) > 0, F.lit("guardrail"))))

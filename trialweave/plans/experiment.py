@@ -244,9 +244,21 @@ def from_config(text: str, metrics_text: dict[str, str] | None = None) -> tuple[
     if missing := {c.metric for c in comparisons} - known:
         raise ValueError(f"no metric {sorted(missing)}")
     raw["variants"] = tuple(raw["variants"])
+    raw |= {k: _edge(raw[k]) for k in ("start", "horizon") if k in raw}
+    if isinstance(raw.get("cadence"), list):
+        raw["cadence"] = tuple(s if isinstance(s, (str, int)) else (s["every"], s.get("until")) for s in raw["cadence"])
     return Experiment(comparisons=comparisons, **raw), metrics
 
 
+def _edge(value) -> date | datetime:
+    """A date, or a date and time without an offset, to the second."""
+    if isinstance(value, str):
+        value = date.fromisoformat(value) if len(value) == 10 else datetime.fromisoformat(value)
+    if not isinstance(value, date) or isinstance(value, datetime) and (value.tzinfo or value.microsecond):
+        raise ValueError(f"a window's edge is a local date or time: {value!r}")
+    return value
+
+
 def select(names: dict[str, list[str]], patterns: list[str], exclude: list[str] = ()) -> list[str]:
     """Experiments by name, glob or ``tag:...``; ``names`` maps a name to its tags."""
     from fnmatch import fnmatch

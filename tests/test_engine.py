@@ -44,7 +44,7 @@ def both_ways(spark, nulls):
     f = facts.exposed(panel_rows(spark, nulls), c, "user", "ts", GRID.start, GRID.horizon)
     roles = {"value": ("max", "value"), "k": ("count", "1")}
     run = facts.running_units(f, GRID, "ts", roles)
-    fast = moments_by_look(run, GRID.frame(spark), "value", "k", shift={"value": 1000.0})
+    fast = moments_by_look(run, len(GRID.ends), "value", "k", shift={"value": 1000.0})
     slow = arm_moments(facts.unit_panel(run, GRID, roles), ["look", "variant"], "value", "k")
     return [{(r.look, r.variant): r.asDict() for r in x.collect()} for x in (fast, slow)]
 

@@ -31,7 +31,7 @@ def arm_moments(units: DataFrame, by: list[str], *roles: str) -> DataFrame:
     return units.groupBy(*by).agg(*moments(*roles))
 
 
-def moments_by_look(running: DataFrame, looks: DataFrame, *roles: str, fixed: tuple[str, ...] = (), groups: list[tuple[str, ...]] | None = None, shift: dict[str, float] | None = None) -> DataFrame:
+def moments_by_look(running: DataFrame, n_looks: int, *roles: str, fixed: tuple[str, ...] = (), groups: list[tuple[str, ...]] | None = None, shift: dict[str, float] | None = None) -> DataFrame:
     """Arm moments at every look from rows where a unit's value changed.
 
     At a look a unit adds the change of its values, squares and products; the changes are
@@ -62,8 +62,7 @@ def moments_by_look(running: DataFrame, looks: DataFrame, *roles: str, fixed: tu
     # Looks without a change repeat the last totals: each row is stretched to the next one.
     up = Window.partitionBy("variant").orderBy("look")
     total = sums.select("variant", F.col("look").alias("__from"), F.lead("look").over(up).alias("__next"), *[F.sum(c).over(up).alias(c) for c in sums.columns if c not in ("variant", "look")])
-    at = F.broadcast(looks.select("look"))
-    total = total.join(at, (F.col("look") >= F.col("__from")) & (F.col("__next").isNull() | (F.col("look") < F.col("__next"))))
+    total = total.withColumn("look", F.explode(F.sequence("__from", F.coalesce("__next", F.lit(n_looks)) - 1)))
     n = F.col("n")
     good = {r: F.col(f"b_{r}") == 0 for r in every}
     out = [F.when(good[r], F.col(f"s_{r}") / n + F.lit(shift[r])).alias(f"mean_{r}") for r in every]
@@ -91,15 +90,18 @@ def merge(parts: DataFrame, by: list[str], *roles: str) -> DataFrame:
 
 
 def pair_up(arms: DataFrame, pairs: list[tuple[str, str]], by: list[str]) -> DataFrame:
-    """One row per (``by``, declared pair): columns ``*_1`` of the first arm and ``*_2`` of the second."""
-    spark = arms.sparkSession
-    declared = F.broadcast(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, name_1 string, name_2 string"))
-    values = [c for c in arms.columns if c not in (*by, "variant")]
-
-    def side(k: int) -> DataFrame:
-        return arms.select(*by, F.col("variant").alias(f"name_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in values])
+    """One row per (``by``, declared pair): columns ``*_1`` of the first arm and ``*_2`` of the second.
 
-    return side(1).join(declared, "name_1").join(side(2), [*by, "name_2"])
+    The arms of a ``by`` group, as many as the experiment has, are gathered once and picked
+    from, so what stands below is computed once and not joined with itself.
+    """
+    values = [c for c in arms.columns if c not in (*by, "variant")]
+    gathered = arms.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("variant", F.struct(*values).alias("v")))).alias("__arms"))
+    declared = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(a).alias("name_1"), F.lit(b).alias("name_2")) for i, (a, b) in enumerate(pairs)])
+    out = gathered.select(*by, "__arms", F.explode(declared).alias("__p")).select(
+        *by, "__p.*", F.try_element_at("__arms", F.col("__p.name_1")).alias("__1"), F.try_element_at("__arms", F.col("__p.name_2")).alias("__2"))
+    out = out.filter(F.col("__1").isNotNull() & F.col("__2").isNotNull())
+    return out.select(*by, "pair", "name_1", "name_2", *[F.col(f"__{k}.{c}").alias(f"{c}_{k}") for k in (1, 2) for c in values])
 
 
 def contrasts(variants: list[str], control: str | None = None, kind: str = "all_pairs") -> list[tuple[str, str]]:

@@ -80,5 +80,5 @@ def pairs(spark: SparkSession, sf_dir: str, roles: dict, with_covariate: bool =
     fixed = ()
     if with_covariate:
         running, fixed = fact_ops.with_covariate(running, covariate(spark, sf_dir)), ("covariate",)
-    arms = moments_by_look(running, GRID.frame(spark), *roles, fixed=fixed)
+    arms = moments_by_look(running, len(GRID.ends), *roles, fixed=fixed)
     return pair_up(arms, PAIRS, ["look"])

@@ -187,7 +187,7 @@ def results(experiment: Experiment, metrics: list[Metric], facts: DataFrame, coh
             cov = fact_ops.covariate(facts, cohort, experiment.unit, experiment.ts, grid, experiment.covariate_days, F.sum(value))
             running, fixed = fact_ops.with_covariate(running, cov), ("covariate",)
             groups[i] = (*groups[i], "covariate")
-    paired = pair_up(moments_by_look(running, looks, *roles, fixed=fixed, groups=groups), experiment.pairs(), ["look"])
+    paired = pair_up(moments_by_look(running, len(grid.ends), *roles, fixed=fixed, groups=groups), experiment.pairs(), ["look"])
     by_name = {m.name: m for m in used}
     for i, c in enumerate(experiment.comparisons):
         paired = _tested(experiment, by_name[c.metric], c, paired, f"__r{i}")

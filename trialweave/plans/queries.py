@@ -154,13 +154,13 @@ def population_baseline(spark, d):
 @query(f"WITH {BASE} SELECT look, variant, n::BIGINT AS n, {r('m', 5)}, round(sqrt(v), 5) + 0.0 AS std FROM arms", 5)
 def arm_moments_by_look(spark, d):
     run = fact_ops.running_units(demo.exposed(spark, d), GRID, "ts", VALUE)
-    return moments_by_look(run, GRID.frame(spark), "value").select("look", "variant", "n", F.col("mean_value").alias("m"), F.sqrt(F.col("m2_value") / F.col("n")).alias("std"))
+    return moments_by_look(run, len(GRID.ends), "value").select("look", "variant", "n", F.col("mean_value").alias("m"), F.sqrt(F.col("m2_value") / F.col("n")).alias("std"))
 
 
 @query(f"WITH {BASE} SELECT look, variant, n::BIGINT AS n, round(sqrt(v), 5) + 0.0 AS std_num, round(sqrt(vd), 5) + 0.0 AS std_den, round(cvd, 5) + 0.0 AS cov FROM arms", 5)
 def arm_comoments(spark, d):
     run = fact_ops.running_units(demo.exposed(spark, d), GRID, "ts", RATIO)
-    m = moments_by_look(run, GRID.frame(spark), "num", "den")
+    m = moments_by_look(run, len(GRID.ends), "num", "den")
     return m.select(
         "look", "variant", "n", F.sqrt(F.col("m2_num") / F.col("n")).alias("std_num"), F.sqrt(F.col("m2_den") / F.col("n")).alias("std_den"), (F.col("c_num_den") / F.col("n")).alias("cov"))
 
@@ -183,7 +183,7 @@ def contrast_pairs_all(spark, d):
 @query(f"WITH {BASE} SELECT look, name_1, name_2 FROM p WHERE name_1 = 'control'")
 def contrast_pairs_vs_control(spark, d):
     run = fact_ops.running_units(demo.exposed(spark, d), GRID, "ts", VALUE)
-    return pair_up(moments_by_look(run, GRID.frame(spark), "value"), contrasts(list(VARIANTS), kind="vs_control"), ["look"]).select("look", "name_1", "name_2")
+    return pair_up(moments_by_look(run, len(GRID.ends), "value"), contrasts(list(VARIANTS), kind="vs_control"), ["look"]).select("look", "name_1", "name_2")
 
 
 # -- closed-form tests ----------------------------------------------------------------------

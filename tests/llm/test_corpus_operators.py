@@ -183,6 +183,13 @@ def test_near_copies_in_a_large_group(spark):
     assert all(want[got[i]] == want[i] for i in want)
 
 
+def test_near_copies_complete(spark):
+    """With ``complete``, components are exact whatever the buckets' sizes."""
+    rows = list(enumerate(copies(5, 300, 120, 6)))
+    got = {r.doc_id: r.component_id for r in minhash.near_dedup(docs(spark, [(*r, None) for r in rows]), complete=True).collect()}
+    assert got == {i: root for i, (_, root) in brute_near(rows).items()}
+
+
 def test_bit_estimate():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,8 +23,13 @@ ALL_PAIRS = 16
 #: each level of refinement.  Central are those whose buckets hold the most others; near copies of
 #: one text all resemble its least changed copies, so these connect a group that others do not.
 CENTRAL = 3
+#: Parts that a large bucket's left members are dealt in, when all its pairs are compared.
+PARTS = 16
 #: Consecutive bands that agree in the buckets of each level of refinement.
 REFINED = (2, 4)
+#: Bytes of a text whose words are hashed at a time.
+BLOCK = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Standard deviations by which an estimate may fall short of ``SIMILAR`` before its pair is dropped.
 SLACK = 5.3
 
@@ -50,7 +56,15 @@ def _constants():
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z."""
+    """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, a block of whole words at a time."""
+    out, at = [], 0
+    while len(text) - at > BLOCK and (m := _BLANK.search(text, at + BLOCK)):
+        out.append(_word_hashes(text[at:m.start()]))
+        at = m.start()
+    return np.concatenate([*out, _word_hashes(text[at:])]) if out else _word_hashes(text)
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
     c = _constants()
     raw = np.frombuffer(text, np.uint8)
     solid = (raw != 32) & ((raw < 9) | (raw > 13))
@@ -139,38 +153,51 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(chosen, run, f"id {kind}, n long, s1 long, s2 long, sig array<long>, bands array<long>")
 
 
-def _pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b) from buckets (``key``, ``id``), and the members of the large ones."""
+def _split(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs (a < b) of the small buckets of (``key``, ``id``, ...), and the members of the large ones with ``size``."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumnRenamed("key", "k")
     shared = saved(members.join(sizes, F.col("key") == F.col("k")).drop("k"))
-    few, many = shared.filter(F.col("size") <= ALL_PAIRS), shared.filter(F.col("size") > ALL_PAIRS).drop("size")
+    few, many = shared.filter(F.col("size") <= ALL_PAIRS), shared.filter(F.col("size") > ALL_PAIRS)
     left, right = few.select("key", F.col("id").alias("a")), few.select(F.col("key").alias("k"), F.col("id").alias("b"))
-    near = left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b"))).select("a", "b")
-    weight = shared.groupBy("id").agg(F.sum("size").alias("weight")).withColumnRenamed("id", "i")
+    return left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b"))).select("a", "b"), many
+
+
+def _central(many: DataFrame) -> DataFrame:
+    """Each member (``id``) of a large bucket with its central ones and one drawn by hash, ``p``; wants ``weight``."""
     lot = F.xxhash64("id")
     central = [F.max(F.when(F.pmod(lot, F.lit(CENTRAL)) == j, F.struct("weight", "id")))["id"] for j in range(CENTRAL)]
-    chosen = many.join(weight, F.col("id") == F.col("i")).groupBy("key").agg(
-        F.array_compact(F.array(*central, F.min(F.struct(lot.alias("h"), "id"))["id"])).alias("p"))
-    stars = many.join(chosen.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("id", F.explode(F.array_distinct("p")).alias("p"))
-    stars = stars.filter("id != p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-    return near.union(stars), many
+    chosen = many.groupBy(F.col("key").alias("k")).agg(F.array_compact(F.array(*central, F.min(F.struct(lot.alias("h"), "id"))["id"])).alias("p"))
+    return many.join(chosen, F.col("key") == F.col("k")).select("id", "p")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs of ids that share a band, as far as :data:`ALL_PAIRS` and :data:`CENTRAL` go.
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of ids that share a band, as far as :data:`ALL_PAIRS` and :data:`CENTRAL` go, and the members of large buckets.
 
     Members of large buckets meet again in the buckets of two consecutive bands, and those
     of such that are still large in buckets of four, and are treated alike at each level.
     """
-    out, many = _pairs(reps.select("id", F.posexplode("bands").alias("at", "key")))
-    for width in REFINED:
-        if many.isEmpty():
-            break
-        wide = many.drop("key").join(reps.select(F.col("id").alias("i"), "bands"), F.col("id") == F.col("i"))
-        keys = [F.element_at("bands", (F.col("at") + k) % F.lit(BANDS) + 1) for k in range(width)]
-        pairs, many = _pairs(wide.select("id", "at", F.xxhash64(*keys).alias("key")))
-        out = out.union(pairs)
-    return out.distinct()
+    out, many = _split(reps.select("id", F.posexplode("bands").alias("at", "key")))
+    if many.isEmpty():
+        return out.distinct(), many
+    weight = many.groupBy(F.col("id").alias("i")).agg(F.sum("size").alias("weight"))
+    known = reps.join(weight, F.col("id") == F.col("i")).select("i", "weight", "bands")
+    wider = [F.xxhash64(*[F.element_at("bands", (F.col("at") + k) % F.lit(BANDS) + 1) for k in range(n)]).alias(f"key{n}") for n in REFINED]
+    many = large = saved(many.join(known, F.col("id") == F.col("i")).select("id", "key", "weight", *wider))
+    stars = _central(many)
+    for n in REFINED:
+        pairs, many = _split(many.withColumn("key", F.col(f"key{n}")).drop("size"))
+        out, stars = out.union(pairs), stars.union(_central(many))
+    # A member's buckets share central members, so these are made distinct before any pair is.
+    own = stars.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("p"))).alias("p")).select("id", F.explode("p").alias("p"))
+    out = out.union(own.filter("id != p").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")))
+    return out.distinct(), large
+
+
+def rate(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """The pairs whose signatures (``i``, ``sig``) agree in enough bits, with their number, ``same``."""
+    rated = pairs.join(sig, F.col("a") == F.col("i")).select("a", "b", F.col("sig").alias("sa")).join(
+        sig, F.col("b") == F.col("i")).select("a", "b", agreeing(F.col("sa"), F.col("sig")).alias("same"))
+    return rated.filter(F.col("same") >= least_agreeing())
 
 
 def agreeing(left, right):
@@ -245,7 +272,17 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remaining(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs of different components in large buckets; a bucket is dealt in parts of its left members."""
+    named = large.join(roots.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("key", "id", F.coalesce("root", "id").alias("c"))
+    parts = F.lit(PARTS)
+    left = named.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.pmod(F.xxhash64("id"), parts).alias("part"))
+    right = named.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("c").alias("cb"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
+    met = left.join(right, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
+    return met.select("a", "b").distinct()
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", complete: bool = False) -> DataFrame:
     """Group near-duplicates: ``id_col``, ``n_shingles``, ``component_id``, ``kept`` for every row.
 
     Texts are linked when their shingle sets have a similarity of 0.75 or more.  Rows of
@@ -254,7 +291,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     and counts only if its full sets confirm it.  First each row's most promising pair is
     confirmed; then all pairs that still connect different components.  A bucket of more
     than ``ALL_PAIRS`` distinct sets compares its members with ``CENTRAL + 1`` of them, at
-    each of two levels of refinement.
+    each of two levels of refinement.  With ``complete``, all remaining pairs of different
+    components in such buckets are compared too; that costs the square of a group of
+    unlinked texts that share bands, so it is off unless asked for.
 
     ``component_id`` is the smallest id reachable over links, ``kept`` says that it is the
     row's own.  An empty text, a blank one or null has no shingles and is linked with
@@ -266,11 +305,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     real = rows.filter("n > 0 and id is not null")
     classes = saved(real.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
     reps = real.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "sig", "bands")
-    pairs = candidates(reps)
+    pairs, large = candidates(reps)
     sig = reps.select(F.col("id").alias("i"), "sig")
-    rated = pairs.join(sig, F.col("a") == F.col("i")).select("a", "b", F.col("sig").alias("sa")).join(
-        sig, F.col("b") == F.col("i")).select("a", "b", agreeing(F.col("sa"), F.col("sig")).alias("same"))
-    rated = saved(rated.filter(F.col("same") >= least_agreeing()))
+    rated = saved(rate(pairs, sig))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     best = rated.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("na"), "a"))["a"].alias("a")).select("a", "b")
     links = saved(confirmed(best, texts))
@@ -282,6 +319,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     more = saved(confirmed(rest.filter("ra != rb").select("a", "b"), texts))
     if not more.isEmpty():
         roots = components(more.union(roots.select("id", "root")))
+    if complete:
+        more = saved(confirmed(rate(remaining(large, roots), sig).select("a", "b"), texts))
+        roots = components(more.union(roots.select("id", "root")))
     named = classes.join(roots, F.col("rep") == F.col("id"), "left").select(
         F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("cn"), F.coalesce("root", "rep").alias("component"))
     found = real.join(named, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") == F.col("cn"))).select("id", "n", "component")

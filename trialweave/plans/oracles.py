@@ -112,6 +112,9 @@ def _tests_named(name: str, body: str) -> str:
     return re.sub(r"\b(n1_|n2_|n3_|n4_|z1_|z2_|z3_|z4_)\b", lambda m: f"{name}_{m[1]}", body).replace("\nt AS (", f"\n{name}_ AS (")
 
 
+#: Rows of arms with fewer than two units have no result.
+_VOID = ", ".join(f"CASE WHEN size_1 >= 2 AND size_2 >= 2 THEN {c} END AS {c}" for c in ("effect", "left_bound", "right_bound", "ci_length", "pvalue", "reject"))
+
 #: All result rows of the demo experiment, as relation ``results``.
 RESULTS = f"""{BASE},
 {_tests_named('revenue', _normal(T_ABS, MAIN))},
@@ -122,7 +125,7 @@ arm_counts AS (SELECT look, end_ts, v.variant, (SELECT count(*) FROM cohort c WH
                FROM looks, (VALUES ('control'), ('t1'), ('t2')) v(variant)),
 srm_a AS (SELECT look, variant, n_units::DOUBLE AS o, sum(n_units) OVER (PARTITION BY look) / 3 AS ex FROM arm_counts),
 srm_ AS (SELECT look, sum(o)::BIGINT AS n_units, sum((o - ex) * (o - ex) / ex) AS chi2, max_by(variant, abs(o - ex) / sqrt(ex) - CASE variant WHEN 'control' THEN 0 WHEN 't1' THEN 1e-9 ELSE 2e-9 END) AS culprit FROM srm_a GROUP BY look),
-results AS (SELECT rows_.*, looks.end_ts, looks.is_horizon, looks.elapsed_days, exp(-chi2 / 2) AS srm_pvalue, exp(-chi2 / 2) < 0.001 AS srm_flag, exp(-chi2 / 2) < 0.001 AS decision_blocked,
+results AS (SELECT rows_.* REPLACE ({_VOID}), looks.end_ts, looks.is_horizon, looks.elapsed_days, exp(-chi2 / 2) AS srm_pvalue, exp(-chi2 / 2) < 0.001 AS srm_flag, exp(-chi2 / 2) < 0.001 AS decision_blocked,
             size_1 < 2 OR size_2 < 2 AS insufficient_data, 'fixed' AS ci_kind FROM rows_ JOIN looks USING (look) JOIN srm_ USING (look))
 """
 LATEST = "latest AS (SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY metric, name_1, name_2 ORDER BY end_ts DESC) = 1)"

@@ -2,41 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialweave.functions.scratch import saved, scratch_dir  # noqa: F401  (used by the operators)
+
 #: The six white-space characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Lineage ends at the written files, so a lost executor costs no recomputation, and
-    several readers share one computation.  The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hex_bucket(key: Column, digits: int) -> Column:
     """A string of ``digits`` hex digits spread evenly over the values of ``key``."""
     return F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, digits)
@@ -61,8 +35,11 @@ def ranked(df: DataFrame, group: str, order: list[str], bucket: Column, out: str
     return joined.withColumn(out, F.col("__start") + F.col("__r") - 1).drop("__b", "__g", "__gb", "__start", "__r")
 
 
-def small_batches(batches, sizes, limit: int = 4 << 20):
-    """Slice Arrow batches so that the column ``sizes`` holds about ``limit`` bytes in each slice."""
+def small_batches(batches, sizes, limit: int = 4 << 20, per_row: int = 64, per_byte: int = 1):
+    """Slice Arrow batches so that each slice needs about ``limit`` bytes.
+
+    A row needs ``per_row`` bytes, and ``per_byte`` for each byte of the column ``sizes``.
+    """
     import numpy as np
     import pyarrow.compute as pc
 
@@ -70,7 +47,7 @@ def small_batches(batches, sizes, limit: int = 4 << 20):
         if not batch.num_rows:
             continue
         lengths = pc.fill_null(pc.binary_length(batch.column(sizes)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(lengths.astype(np.int64) + 64) // limit
+        part = np.cumsum(lengths.astype(np.int64) * per_byte + per_row) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)

@@ -190,6 +190,33 @@ def test_near_copies_complete(spark):
     assert got == {i: root for i, (_, root) in brute_near(rows).items()}
 
 
+def two_versions(seed, n=150):
+    """Two versions of a text, each in ``n`` edited copies and one plain one; only the plain ones are linked across."""
+    rng = random.Random(seed)
+    v = [f"w{k}" for k in range(3000)]
+    one = [rng.choice(v) for _ in range(300)]
+    two = one[:100] + [rng.choice(v) for _ in range(33)] + one[133:]
+
+    def edited(w, at):
+        w = list(w)
+        for k in (at, *rng.sample([*range(8, 90), *range(145, 240)], rng.randint(1, 3))):
+            w[k] = v[0] if k == at else rng.choice(v)
+        return " ".join(w)
+
+    return [*(edited(one, 250) for _ in range(n)), " ".join(one), *(edited(two, 270) for _ in range(n)), " ".join(two)]
+
+
+@pytest.mark.parametrize("seed", (1, 3))
+def test_near_copies_joined_by_one_pair(spark, seed):
+    """The one pair that joins two large groups is found, by the operator and by the pipeline's stage."""
+    rows = list(enumerate(two_versions(seed)))
+    assert {root for _, root in brute_near(rows).values()} == {0}
+    table = docs(spark, [(*r, None) for r in rows])
+    assert {r.component_id for r in minhash.near_dedup(table).collect()} == {0}
+    if seed == 1:
+        assert [r.doc_id for r in minhash.drop_near_copies(table).collect()] == [0]
+
+
 def test_bit_estimate():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)

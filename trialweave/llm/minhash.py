@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.functions.ship import map_arrow
+from trialweave.functions.ship import map_arrow, ship
 from trialweave.llm.common import saved, small_batches
 
 #: Words in a shingle; the least similarity of a link, in hundredths.
@@ -23,8 +23,8 @@ ALL_PAIRS = 16
 #: each level of refinement.  Central are those whose buckets hold the most others; near copies of
 #: one text all resemble its least changed copies, so these connect a group that others do not.
 CENTRAL = 3
-#: Parts that a large bucket's left members are dealt in, when all its pairs are compared.
-PARTS = 16
+#: Members on the two sides of a block, in expectation, when a large bucket's components are compared.
+LEFT, RIGHT = 256, 4096
 #: Consecutive bands that agree in the buckets of each level of refinement.
 REFINED = (2, 4)
 #: Bytes of a text whose words are hashed at a time.
@@ -272,17 +272,83 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def remaining(large: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of different components in large buckets; a bucket is dealt in parts of its left members."""
-    named = large.join(roots.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("key", "id", F.coalesce("root", "id").alias("c"))
-    parts = F.lit(PARTS)
-    left = named.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.pmod(F.xxhash64("id"), parts).alias("part"))
-    right = named.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("c").alias("cb"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
-    met = left.join(right, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-    return met.select("a", "b").distinct()
+def remaining(large: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+    """All pairs (a < b, ``same``) of different components in large buckets that could be similar.
 
+    ``known`` has ``i``, ``n`` and ``sig``.  Members outside their bucket's largest component
+    meet all members of others.  A bucket is dealt in blocks of about ``LEFT`` by ``RIGHT``
+    members, and only pairs that pass the sizes' ratio and the signatures leave a block.
+    """
+    named = saved(large.select("key", "id").join(roots.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("key", "id", F.coalesce("root", "id").alias("c")))
+    mixed = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy(F.col("key").alias("k")).agg(
+        F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("size")).filter("size > top.m")
+    mixed = mixed.select("k", F.col("top.c").alias("most"), F.ceil((F.col("size") - F.col("top.m")) / LEFT).cast("int").alias("ls"), F.ceil(F.col("size") / RIGHT).cast("int").alias("rs"))
+    met = named.join(mixed, F.col("key") == F.col("k")).join(known, F.col("id") == F.col("i"))
+    met = met.select("key", "id", "c", (F.col("c") == F.col("most")).alias("top"), "n", "sig", F.xxhash64("id").alias("lot"), "ls", "rs")
+
+    def places(n, place):
+        return F.transform(F.sequence(F.lit(0), n - 1), place)
+
+    left = places(F.col("rs"), lambda k: F.struct(F.lit(True).alias("left"), F.pmod("lot", "ls").cast("int").alias("x"), k.alias("y")))
+    right = places(F.col("ls"), lambda k: F.struct(F.lit(False).alias("left"), k.alias("x"), F.pmod("lot", "rs").cast("int").alias("y")))
+    dealt = met.withColumn("at", F.explode(F.when(F.col("top"), right).otherwise(F.concat(left, right))))
+    kind = large.schema["id"].dataType.simpleString()
+    least = least_agreeing()
+
+    def run(table):
+        import pyarrow as pa
+
+        on_left, top, n, lot = (table[x].to_numpy() for x in ("left", "top", "n", "lot"))
+        c = table["c"].combine_chunks().dictionary_encode().indices.to_numpy()
+        sig = table["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+        r = np.flatnonzero(~on_left)
+        a, b, same = [], [], []
+        for i in np.flatnonzero(on_left):
+            fit = (c[r] != c[i]) & (top[r] | (lot[i] <= lot[r])) & (SIMILAR * np.maximum(n[r], n[i]) <= 100 * np.minimum(n[r], n[i]))
+            rows = r[fit]
+            agree = alike(sig[i], sig[rows])
+            good = agree >= least
+            b.append(rows[good]), same.append(agree[good]), a.append(np.full(good.sum(), i))
+        a, b, same = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, same))
+        ids = table["id"].combine_chunks()
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "same": pa.array(same, pa.int32())})
+
+    ship(large.sparkSession)
+    found = dealt.select("key", "at.x", "at.y", "at.left", "id", "c", "top", "n", "sig", "lot").groupBy("key", "x", "y").applyInArrow(run, f"a {kind}, b {kind}, same int")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same").distinct()
+
+
+def alike(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """What :func:`agreeing` gives for one packed signature and each row of others."""
+    d = many ^ one
+    for k in (1, 2):
+        d |= d >> np.uint64(k)
+    spread = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
+    return MINIMA - np.bitwise_count(d & spread).sum(axis=1, dtype=np.int64)
+
+
+def crossing(rated: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b, ``same``) of different components, with those, ``ra`` and ``rb``."""
+    label = roots.withColumnRenamed("root", "r")
+    out = rated.join(label.withColumnRenamed("id", "i"), F.col("a") == F.col("i"), "left").select("a", "b", "same", F.coalesce("r", "a").alias("ra"))
+    out = out.join(label.withColumnRenamed("id", "i"), F.col("b") == F.col("i"), "left").select("a", "b", "same", "ra", F.coalesce("r", "b").alias("rb"))
+    return out.filter("ra != rb")
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", complete: bool = False) -> DataFrame:
+
+def completed(large: DataFrame, roots: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """``roots`` after all links in large buckets: the best pair of each two components is confirmed first, then what still connects."""
+    rated = saved(remaining(large, roots, known))
+    for best in (True, False):
+        pairs = crossing(rated, roots)
+        if best:
+            pairs = pairs.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.max(F.struct("same", "a", "b")).alias("x")).select("x.a", "x.b")
+        more = saved(confirmed(pairs.select("a", "b"), texts))
+        if not more.isEmpty():
+            roots = components(more.union(roots.select("id", "root")))
+    return roots
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", complete: bool = True) -> DataFrame:
     """Group near-duplicates: ``id_col``, ``n_shingles``, ``component_id``, ``kept`` for every row.
 
     Texts are linked when their shingle sets have a similarity of 0.75 or more.  Rows of
@@ -291,9 +357,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and counts only if its full sets confirm it.  First each row's most promising pair is
     confirmed; then all pairs that still connect different components.  A bucket of more
     than ``ALL_PAIRS`` distinct sets compares its members with ``CENTRAL + 1`` of them, at
-    each of two levels of refinement.  With ``complete``, all remaining pairs of different
-    components in such buckets are compared too; that costs the square of a group of
-    unlinked texts that share bands, so it is off unless asked for.
+    each of two levels of refinement; then all pairs of components left in such buckets
+    are compared by signatures, in blocks, and what passes is confirmed.  That costs the
+    square of a group of unlinked texts that share bands.  Without ``complete`` this last
+    step is left out, and components of large groups can fall apart.
 
     ``component_id`` is the smallest id reachable over links, ``kept`` says that it is the
     row's own.  An empty text, a blank one or null has no shingles and is linked with
@@ -304,7 +371,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = saved(sketches(docs, id_col, text_col))
     real = rows.filter("n > 0 and id is not null")
     classes = saved(real.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")))
-    reps = real.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "sig", "bands")
+    reps = real.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "sig", "bands")
     pairs, large = candidates(reps)
     sig = reps.select(F.col("id").alias("i"), "sig")
     rated = saved(rate(pairs, sig))
@@ -319,9 +386,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = saved(confirmed(rest.filter("ra != rb").select("a", "b"), texts))
     if not more.isEmpty():
         roots = components(more.union(roots.select("id", "root")))
-    if complete:
-        more = saved(confirmed(rate(remaining(large, roots), sig).select("a", "b"), texts))
-        roots = components(more.union(roots.select("id", "root")))
+    if complete and not large.isEmpty():
+        roots = completed(large, roots, reps.select(F.col("id").alias("i"), "n", "sig"), texts)
     named = classes.join(roots, F.col("rep") == F.col("id"), "left").select(
         F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("cn"), F.coalesce("root", "rep").alias("component"))
     found = real.join(named, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n") == F.col("cn"))).select("id", "n", "component")

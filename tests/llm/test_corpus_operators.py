@@ -190,6 +190,15 @@ def test_near_copies_complete(spark):
     assert got == {i: root for i, (_, root) in brute_near(rows).items()}
 
 
+@pytest.mark.parametrize("make", (lambda: copies(4, 500, 150, 4), lambda: two_versions(1)), ids=("copies", "two_versions"))
+def test_query_is_exact_in_large_groups(spark, tmp_path, make):
+    """The registered query equals brute force where buckets are beyond ALL_PAIRS."""
+    rows = list(enumerate(make()))
+    docs(spark, [(*r, None) for r in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.component_id for r in queries.op1_near_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: root for i, (_, root) in brute_near(rows).items()}
+
+
 def two_versions(seed, n=150):
     """Two versions of a text, each in ``n`` edited copies and one plain one; only the plain ones are linked across."""
     rng = random.Random(seed)

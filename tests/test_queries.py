@@ -38,3 +38,13 @@ def test_one_scan_of_the_facts_serves_all_looks(spark):
     """The plan reads the facts as often as it has relations of them, whatever the looks and metrics."""
     plan = queries.results(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 3 and "Cartesian" not in plan  # facts, cohort, and the cohort's counts
+
+
+@pytest.mark.parametrize("name", ("placebo_fpr", "placebo_cuped", "peeking_curve", "family_fwer"))
+def test_calibration_runs_the_whole_number_of_iterations(spark, monkeypatch, name):
+    from trialweave.operators import calibrate
+
+    asked, effects = [], calibrate.placebo_effects
+    monkeypatch.setattr(calibrate, "placebo_effects", lambda p, n, *a, **k: (asked.append(n), effects(p, 2, *a, **k))[1])
+    queries.QUERIES[name](spark, SF)
+    assert asked and set(asked) == {4000}

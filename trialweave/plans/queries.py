@@ -669,19 +669,19 @@ def panel(spark, d) -> DataFrame:
 
 @query()
 def placebo_fpr(spark, d):
-    null = calibrate.placebo_effects(panel(spark, d), 400, "t", relative=True, seed=5)
-    lift = calibrate.placebo_effects(panel(spark, d), 400, "t", relative=True, seed=5, delta=0.2)
+    null = calibrate.placebo_effects(panel(spark, d), calibrate.iterations_for(A), "t", relative=True, seed=5)
+    lift = calibrate.placebo_effects(panel(spark, d), calibrate.iterations_for(A), "t", relative=True, seed=5, delta=0.2)
     return calibrate.score(null, A, lift, 0.2, calibrate.tau2_of(null, A))
 
 
 @query()
 def placebo_cuped(spark, d):
-    return calibrate.score(calibrate.placebo_effects(panel(spark, d), 400, "cuped", seed=5), A)
+    return calibrate.score(calibrate.placebo_effects(panel(spark, d), calibrate.iterations_for(A), "cuped", seed=5), A)
 
 
 @query()
 def peeking_curve(spark, d):
-    return calibrate.peeking_curve(calibrate.placebo_effects(panel(spark, d), 400, seed=5), A)
+    return calibrate.peeking_curve(calibrate.placebo_effects(panel(spark, d), calibrate.iterations_for(A), seed=5), A)
 
 
 @query()
@@ -689,7 +689,7 @@ def family_fwer(spark, d):
     p = panel(spark, d)
     members = []
     for name, kind in (("plain", "t"), ("adjusted", "cuped")):
-        x = calibrate.placebo_effects(p, 300, kind, seed=9, looks=[22])
+        x = calibrate.placebo_effects(p, calibrate.iterations_for(A), kind, seed=9, looks=[22])
         members.append(x.select("iteration", F.lit(name).alias("member"), "effect", two_sided(F.col("effect") / F.col("se")).alias("pvalue")))
     return calibrate.family_rate(members[0].union(members[1]), "holm", A)
 

@@ -38,7 +38,8 @@ def ranked(df: DataFrame, group: str, order: list[str], bucket: Column, out: str
 def small_batches(batches, sizes, limit: int = 4 << 20, per_row: int = 64, per_byte: int = 1):
     """Slice Arrow batches so that each slice needs about ``limit`` bytes.
 
-    A row needs ``per_row`` bytes, and ``per_byte`` for each byte of the column ``sizes``.
+    A row needs ``per_row`` bytes, and ``per_byte`` for each byte of the column ``sizes``, or
+    of several such columns.
     """
     import numpy as np
     import pyarrow.compute as pc
@@ -46,8 +47,9 @@ def small_batches(batches, sizes, limit: int = 4 << 20, per_row: int = 64, per_b
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = pc.fill_null(pc.binary_length(batch.column(sizes)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(lengths.astype(np.int64) * per_byte + per_row) // limit
+        columns = sizes if isinstance(sizes, tuple) else (sizes,)
+        lengths = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        part = np.cumsum(lengths * per_byte + per_row) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)

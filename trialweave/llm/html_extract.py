@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from trialweave.functions.ship import map_arrow
 from trialweave.llm.common import small_batches
 
-_TOKEN = re.compile(
-    r"""<!--(?:.*?-->|.*)
-    |<(script|style|template|svg|math|title|iframe|noembed|noframes|noscript|textarea|select|head)\b[^>]*>(?:.*?</\1\s*>|.*)
-    |<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>
-    |<[!?/][^>]*>""", re.S | re.I | re.X)
+#: What an element's name may be, attributes with whole quotes, and the elements whose content is no text.
+_NAME = re.compile(r"/?([a-z][^\s/>]*)", re.I)
+_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+_RAW = frozenset("script style template svg math title iframe noembed noframes noscript textarea select head".split())
 _HINTS = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_NUMBER = re.compile(r"&#(x?)0*([0-9a-f]+);?", re.I)
 
 #: Elements that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -24,6 +24,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An opening tag of the key closes an open element of these names.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+LISTS = frozenset("ul ol dl table".split())
 SCOPES = frozenset("article aside blockquote body div footer form header main nav section table td th ul ol dl".split())
 
 BAD_TAGS = frozenset("nav footer aside form button dialog menu fieldset object audio video canvas map".split())
@@ -36,16 +37,66 @@ BAD_WORDS = frozenset("""ad ads adsense advert adverts advertisement advertising
 GOOD_WORDS = frozenset("article content entry main post story maintext bodytext articlebody".split())
 HEAD_WORDS = frozenset("header banner masthead".split())
 
-#: Costs in thousandths: a page part's evidence, a link's, a word's, and the smoothness edges.
-IN_ARTICLE, IN_BOILERPLATE, LINK, WORD, SENTENCE, START = 4000, 12000, 5000, 60, 800, -500
-NEXT, SAME_PARENT = 500, 900
+#: Costs in thousandths.  A block's own evidence: a constant, each of its first ``MOST_WORDS`` words, a sentence's
+#: end, its share of linked words, and its place.  Places are evidence among others: a short block in an article, a
+#: block with links, and all blocks of pages that name no places are settled by their neighbours.
+START, WORD, MOST_WORDS, SENTENCE, LINK, IN_ARTICLE, IN_BOILERPLATE = -900, 60, 30, 800, 1200, 900, 5000
+#: Smoothness: between blocks that follow each other in the same kind of place or in different ones, and between a block
+#: and the one before it in its parent.  A tie weakens by up to half as the blocks' shares of linked words differ.
+ALIKE, NEXT, SAME_PARENT = 600, 20, 300
 
 
 class Block:
-    __slots__ = ("text", "links", "bad", "good", "parent", "heading")
+    __slots__ = ("text", "words", "links", "bad", "good", "parent")
 
-    def __init__(self, text, links, bad, good, parent, heading):
-        self.text, self.links, self.bad, self.good, self.parent, self.heading = text, links, bad, good, parent, heading
+    def __init__(self, text, links, bad, good, parent):
+        self.text, self.words, self.bad, self.good, self.parent = text, len(text.split()), bad, good, parent
+        self.links = min(links, self.words)
+
+
+def tokens(page: str):
+    """(start, end, name, closes, attributes) of a page's tags and comments in order; the latter have the name ``""`` or, with raw content, ``!``.
+
+    Every character is looked at a bounded number of times.  A comment or raw element that
+    does not end takes the rest of the page.  Quotes that do not end stop counting as such
+    from there on, and a ``<`` with no ``>`` after it is text.
+    """
+    last = page.rfind(">")
+    ends: dict[str, re.Pattern] = {}
+    quotes, at = True, page.find("<")
+    while at >= 0 and (at < last or page.startswith("<!--", at)):
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif m := _NAME.match(page, at + 1):
+            name, closes, start = m.group(1).lower(), page[at + 1] == "/", m.end()
+            end = _QUOTED.match(page, start).end() if quotes else page.find(">", start)
+            if page[end:end + 1] != ">":
+                quotes = False
+                end = page.find(">", start)
+            attributes, end = page[start:end], end + 1
+            if name in _RAW and not closes:
+                if name not in ends:
+                    ends[name] = re.compile(rf"</{name}\s*>", re.I)
+                found = ends[name].search(page, end)
+                yield at, found.end() if found else len(page), "!", False, ""
+                end = found.end() if found else len(page)
+            else:
+                yield at, end, name, closes, attributes
+        elif page[at + 1] in "!?/":
+            end = page.find(">", at) + 1
+            yield at, end, "", False, ""
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
+def decoded(text: str) -> str:
+    """``text`` without character references; numbers beyond Unicode give U+FFFD."""
+    if "&" not in text:
+        return text
+    return unescape(_NUMBER.sub(lambda m: f"&#{m[1]}{m[2]};" if len(m[2]) < 8 else "\ufffd", text) if "&#" in text else text)
 
 
 def _hints(attributes: str) -> tuple[bool, bool, bool]:
@@ -68,58 +119,56 @@ def _hints(attributes: str) -> tuple[bool, bool, bool]:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, with their place in the document."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    # Open elements: name, bad, good, number, and the places of the nearest scope and the nearest list or table.
+    stack: list[tuple[str, bool, bool, int, int, int]] = [("", False, False, 0, 0, 0)]
+    places: dict[str, list[int]] = {}
     text: list[str] = []
     made = linked = links = 0
-    heading = False
 
     def flush() -> None:
-        nonlocal links, heading
+        nonlocal links
         if text:
-            if words := " ".join(unescape("".join(text)).split()):
-                _, bad, good, parent = next((x for x in reversed(stack) if x[0] in SCOPES or not x[0]), stack[0])
+            if words := " ".join(decoded("".join(text)).split()):
                 top = stack[-1]
-                out.append(Block(words, links, bad or top[1], good or top[2], parent, heading))
+                _, bad, good, parent, _, _ = stack[top[4]]
+                out.append(Block(words, links, bad or top[1], good or top[2], parent))
             text.clear()
-        links, heading = 0, False
+        links = 0
 
-    def close(names, scope=frozenset()) -> None:
+    def close(names, limit=0) -> None:
+        """Close the nearest open element of ``names`` and all in it, unless it lies outside the element at ``limit``."""
         nonlocal linked
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                linked -= sum(x[0] == "a" for x in stack[k:])
-                del stack[k:]
-                return
-            if stack[k][0] in scope:
-                return
+        k = max((places[n][-1] for n in names if places.get(n)), default=0)
+        if 0 < k >= limit:
+            for name, *_ in stack[k:]:
+                linked -= name == "a"
+                places[name].pop()
+            del stack[k:]
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            run = page[at:m.start()]
+    for start, end, name, closes, attributes in tokens(page):
+        if start > at:
+            run = page[at:start]
             text.append(run)
             if linked:
                 links += len(run.split())
-        at = m.end()
-        name = m.group(3)
-        if not name:
-            if m.group(1):
+        at = end
+        if not name or name == "!":
+            if name:
                 flush()
             continue
-        name = name.lower()
         if name not in INLINE:
             flush()
-        if m.group(2):
-            close((name,), frozenset() if name in SCOPES else SCOPES)
+        if closes:
+            close((name,), 0 if name in SCOPES else stack[-1][4])
             continue
         if name in CLOSES_P:
-            close(("p",), SCOPES)
+            close(("p",), stack[-1][4])
         elif name in CLOSES:
-            close(CLOSES[name], frozenset(("ul", "ol", "dl", "table")))
+            close(CLOSES[name], stack[-1][5])
         if name in VOID:
             continue
-        _, bad, good, _ = stack[-1]
-        attributes = m.group(4)
+        _, bad, good, _, scope, listed = stack[-1]
         head = name == "header"
         if attributes.strip():
             b, g, h = _hints(attributes)
@@ -133,8 +182,9 @@ def blocks(page: str) -> list[Block]:
             good = True
         made += 1
         linked += name == "a"
-        heading |= name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        stack.append((name, bad, good, made))
+        place = len(stack)
+        places.setdefault(name, []).append(place)
+        stack.append((name, bad, good, made, place if name in SCOPES else scope, place if name in LISTS else listed))
     if at < len(page):
         text.append(page[at:])
     flush()
@@ -143,15 +193,10 @@ def blocks(page: str) -> list[Block]:
 
 def leaning(block: Block) -> int:
     """Evidence for content over boilerplate: the difference of the two terminal capacities."""
-    words = block.text.split()
-    score = START + WORD * min(len(words), 60) - LINK * min(block.links, len(words)) // len(words)
+    score = START + WORD * min(block.words, MOST_WORDS) - LINK * block.links // block.words
     if block.text[-1] in ".!?…\"”»":
         score += SENTENCE
-    if block.good:
-        score += IN_ARTICLE
-    if block.bad:
-        score -= IN_BOILERPLATE
-    return score
+    return score + IN_ARTICLE * block.good - IN_BOILERPLATE * block.bad
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, int]]:
@@ -159,26 +204,67 @@ def edges(found: list[Block]) -> list[tuple[int, int, int]]:
     out = []
     last: dict[int, int] = {}
     for i, b in enumerate(found):
-        if i:
-            out.append((i - 1, i, NEXT))
-        if b.parent in last:
-            out.append((last[b.parent], i, SAME_PARENT))
+        for j, alike, other in ((i - 1, ALIKE, NEXT), (last.get(b.parent, -1), SAME_PARENT, 0)):
+            if j >= 0:
+                x = found[j]
+                apart = abs(x.links * b.words - b.links * x.words)
+                weight = alike if (x.good, x.bad) == (b.good, b.bad) else other
+                out.append((j, i, weight - weight * apart // (2 * x.words * b.words)))
         last[b.parent] = i
     return out
 
 
 def minimum_cut(lean: list[int], links: list[tuple[int, int, int]]) -> list[bool]:
-    """Which nodes lie on the source's side of a minimum cut.
+    """Which nodes lie on the source's side of a minimum cut; of several, the least such side.
 
     ``lean`` > 0 is the node's capacity from the source, < 0 the one to the sink, after
     both terminals' common part is taken off; ``links`` are edges of equal capacity both
-    ways.  Shortest augmenting paths; the source's side is what it still reaches.
+    ways.  A node of at most two neighbours is taken out: the least cost of its two sides,
+    for each of theirs, becomes capacities of theirs and of an edge between them.  A page's
+    edges are nested, as its elements are, so this takes out all its nodes, in linear time;
+    what other graphs leave is cut by :func:`flow`.  Sides are then given back in reverse.
     """
-    rest: list[dict[int, int]] = [{} for _ in lean]
+    gain = list(lean)
+    cap: list[dict[int, int]] = [{} for _ in lean]  # cap[a][b]: what a on the source's side costs, b not
     for a, b, c in links:
-        rest[a][b] = rest[a].get(b, 0) + c
-        rest[b][a] = rest[b].get(a, 0) + c
-    supply = list(lean)
+        if a != b:
+            cap[a][b] = cap[a].get(b, 0) + c
+            cap[b][a] = cap[b].get(a, 0) + c
+    gone = [False] * len(gain)
+    order: list[tuple[int, int, list[tuple[int, int, int]]]] = []
+    queue = [i for i, x in enumerate(cap) if len(x) <= 2]
+    while queue:
+        v = queue.pop()
+        if gone[v] or len(cap[v]) > 2:
+            continue
+        gone[v] = True
+        near = [(u, out, cap[u].pop(v)) for u, out in cap[v].items()]
+        order.append((v, gain[v], near))
+        if len(near) == 2:
+            (a, va, av), (b, vb, bv) = near
+            f00, f10 = min(0, va + vb - gain[v]), min(av, vb - gain[v])
+            f01, f11 = min(bv, va - gain[v]), min(av + bv, -gain[v])
+            gain[a] -= f10 - f00
+            gain[b] -= f11 - f10
+            cap[b][a] = cap[b].get(a, 0) + f01 + f10 - f00 - f11
+            cap[a].setdefault(b, 0)
+        elif near:
+            (a, va, av), = near
+            gain[a] -= min(av, -gain[v]) - min(0, va - gain[v])
+        queue += [u for u, _, _ in near if len(cap[u]) <= 2]
+    left = [i for i, g in enumerate(gone) if not g]
+    side = [False] * len(gain)
+    if left:
+        at = {i: k for k, i in enumerate(left)}
+        for i, s in zip(left, flow([gain[i] for i in left], [{at[j]: c for j, c in cap[i].items()} for i in left])):
+            side[i] = s
+    for v, g, near in reversed(order):
+        side[v] = sum(out for u, out, _ in near if not side[u]) - g < sum(into for u, _, into in near if side[u])
+    return side
+
+
+def flow(supply: list[int], rest: list[dict[int, int]]) -> list[bool]:
+    """What the source still reaches after a maximum flow by shortest augmenting paths."""
     while True:
         came = {i: -1 for i, s in enumerate(supply) if s > 0}
         queue = deque(came)
@@ -193,19 +279,16 @@ def minimum_cut(lean: list[int], links: list[tuple[int, int, int]]) -> list[bool
                     came[j] = i
                     queue.append(j)
         if end < 0:
-            return [i in came for i in range(len(lean))]
-        flow, i = -supply[end], end
-        while came[i] >= 0:
-            flow = min(flow, rest[came[i]][i])
-            i = came[i]
-        flow = min(flow, supply[i])
-        supply[i] -= flow
-        supply[end] += flow
-        i = end
-        while came[i] >= 0:
-            rest[came[i]][i] -= flow
-            rest[i][came[i]] += flow
-            i = came[i]
+            return [i in came for i in range(len(supply))]
+        path = [end]
+        while came[path[-1]] >= 0:
+            path.append(came[path[-1]])
+        most = min(-supply[end], supply[path[-1]], *(rest[j][i] for i, j in zip(path, path[1:])))
+        supply[path[-1]] -= most
+        supply[end] += most
+        for i, j in zip(path, path[1:]):
+            rest[j][i] -= most
+            rest[i][j] += most
 
 
 def main_text(page: str | None) -> str:
@@ -222,7 +305,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     (article, menu, advert, reader comments, ...) give its terminal capacities, and edges
     tie it to its neighbours and to the previous block of the same parent.  The blocks on
     the content side of the minimum cut are joined by a space; character references are
-    decoded and white space inside a block becomes one space.
+    decoded and white space inside a block becomes one space.  Time is linear in the page.
 
     A null or empty page, or one without content, has an empty text.  Broken markup is read
     leniently: unclosed elements end with the page.  Rows never meet, so repeated rows and

@@ -42,20 +42,22 @@ def test_odd_rows_all_come_back(spark, name):
     assert Counter(r["doc_id"] for r in whole) == Counter(i for i, _, _ in ODD)
 
 
-def test_exact(spark):
-    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs(spark)).collect()}
-    assert got[12].keep_id == 2 and not got[12].kept
+@pytest.mark.parametrize("rounds", (None, 1, 4))
+def test_exact(spark, rounds):
+    rows = [*ODD, (1, "a b c", "en"), (1, "abc", "en"), (1, "abc", "en"), (20, " abc ", "fr"), (None, "ab  c", None)]
+    got = exact_dedup.exact_dedup(docs(spark, rows), rounds=rounds).collect()
+    assert len(got) == len(rows)
     groups = defaultdict(list)
-    for i, t, _ in ODD:
-        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-(len(t or "")), i is None, i or 0, i))
+    for i, t, _ in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i or 0, i))
     for norm, members in groups.items():
-        best = min(members)[3]
-        for m in members:
-            r = got[m[3]]
-            assert (r.keep_id, r.group_size, r.kept) == (best, len(members), m[3] == best)
-            assert r.text_sha256 == hashlib.sha256(norm.encode()).hexdigest()
-    left = exact_dedup.drop_copies(docs(spark))
-    assert set(left.columns) == set(docs(spark).columns) and left.filter("doc_id = 12").count() == 0 and left.count() == sum(r.kept for r in exact_dedup.exact_dedup(docs(spark)).collect())
+        own = [r for r in got if r.text_sha256 == hashlib.sha256(norm.encode()).hexdigest()]
+        assert sorted(r.doc_id or 0 for r in own) == sorted(m[2] for m in members)
+        assert {(r.keep_id, r.group_size) for r in own} == {(min(members)[3], len(members))}
+        assert [r.doc_id for r in own if r.kept] == [min(members)[3]]
+    left = exact_dedup.drop_copies(docs(spark, rows), rounds=rounds)
+    assert left.columns == docs(spark).columns
+    assert Counter(r.text or "" for r in left.collect()) == Counter(min((-len(t or ""), i is None, i or 0, t or "") for i, t, _ in rows if re.sub(r"[\x20\x09-\x0D]", "", t or "") == norm)[3] for norm in groups)
 
 
 def brute_shards(i, tree):
@@ -107,6 +109,7 @@ def test_urls(spark):
         best = max(fits, default=(0, None, "allow"))
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, best[1], best[2]), u
     assert url_filter.judge_urls(pages, url_filter.rules_table(spark, []).filter("false")).filter("verdict != 'allow'").count() == 0
+    assert url_filter.judge_urls(pages.limit(0), url_filter.rules_table(spark)).collect() == []
 
 
 def brute_lines(rows, span=3):
@@ -134,6 +137,15 @@ def test_lines(spark):
     assert got[-5].text is None and got[-5]["__n_lines"] == 0
 
 
+def test_lines_of_long_texts_take_linear_time(spark):
+    text = "\n".join(f"line {k}" for k in range(40000))
+    table = docs(spark, [(1, text, None), (2, text, None), (3, "\n".join(["same"] * 30000), None)])
+    began = time.time()
+    got = {r.doc_id: (r.text, r.gone) for r in line_dedup.line_dedup(table).selectExpr("doc_id", "text", "__n_removed gone").collect()}
+    assert time.time() - began < 40
+    assert got == {1: (text, 0), 2: ("", 40000), 3: ("same", 29999)}
+
+
 def brute_near(rows):
     sets = {}
     for i, t in rows:
@@ -295,6 +307,15 @@ def test_bpe_blocks(monkeypatch):
     assert bpe.WordBpe(bpe.default_path()).encode(text).tolist() == whole
 
 
+def test_bpe_special_tokens_of_any_form():
+    tool = bpe.WordBpe(bpe.default_path())
+    tool.added |= {"@@mark": 5}
+    other = bpe.WordBpe.__new__(bpe.WordBpe)
+    other.__dict__ |= tool.__dict__
+    other.special, other.mark = re.compile("|".join(map(re.escape, tool.added))), ""
+    assert other.encode("a @@mark b").tolist() == [*tool.encode("a ").tolist(), 5, *tool.encode(" b").tolist()]
+
+
 def test_packing(spark):
     got = packing.pack(docs(spark), capacity=64).collect()
     tool = library()
@@ -346,6 +367,28 @@ def test_language_without_letters(spark):
     assert got[0].lang_pred == "en" and got[1].lang_pred == "de" and got[904].lang_pred != "und"
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Rows that repeat an id or a text do not swell what goes to the driver."""
+    one, two = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = [(one, "the house", "en")] * 6000 + [(two, f"das Haus {k} und", "de") for k in range(6000)]
+    sizes, cluster = [], langid.cluster
+    monkeypatch.setattr(langid, "cluster", lambda x: (sizes.append(len(x)), cluster(x))[1])
+    assert "de" in langid.fit(docs(spark, rows)).langs
+    assert max(sizes) < 1.2 * langid.SAMPLE
+
+
+def test_language_rejects_by_length(spark):
+    """Long texts far from what was learned go, short and learned ones stay."""
+    rng = random.Random(3)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(table)
+    learned = [r.text for r in table.filter("lang is not null").collect()]
+    assert sum(not ok for *_, ok in model.judge(learned)) <= 0.002 * len(learned)
+    assert (np.diff(model.least) >= 0).all()
+    odd = [" ".join("".join(rng.choice("bcdfgkzxq") for _ in range(6)) for _ in range(2000)), "слово и дело " * 500]
+    assert [ok for *_, ok in model.judge(odd)] == [False] * 2
+
+
 def test_media(spark):
     got = {r.doc_id: r for r in jpeg_media.media_features(docs(spark)).collect()}
     for i, t, _ in ODD:
@@ -388,6 +431,81 @@ def test_media_reads_foreign_tables():
     assert jpeg_media.read_images([data])[0][0].tolist() == [[128 + 40, 128 + 30]]
 
 
+def colour_jpeg(rng, width, height, parts, restart=0, apart=False):
+    """A baseline JPEG of several components with random coefficients, and its luminance's DC coefficients."""
+    dc, ac = {0: 2, 3: 2, 5: 3, 7: 4}, {0x00: 2, 0x01: 2, 0xF0: 4, 0x21: 3}
+    d, a = jpeg_media.canonical(dc), jpeg_media.canonical(ac)
+    most_h, most_v = max(h for h, _ in parts), max(v for _, v in parts)
+    rows, columns = -(-height // (8 * most_v)), -(-width // (8 * most_h))
+    level, out, bits, scans = [0] * len(parts), {}, [], []
+
+    def block(k, where):
+        diff = rng.choice((0, 4, -7, 5, 30, -20, 100, -100))
+        size = abs(diff).bit_length()
+        if abs(level[k] + diff) > 300:
+            diff = size = 0
+        level[k] += diff
+        code = [d[size], (diff if diff >= 0 else diff + (1 << size) - 1, size)]
+        if rng.random() < 0.5:
+            code += [a[0x01], (rng.randint(0, 1), 1), a[0xF0], a[0x21], (rng.randint(0, 1), 1)]
+        bits.append("".join(f"{v:0{n}b}" for v, n in [*code, a[0x00]] if n))
+        if not k:
+            out[where] = level[0]
+
+    def ended():
+        text = "".join(bits)
+        text += "1" * (-len(text) % 8)
+        bits.clear()
+        level[:] = [0] * len(parts)
+        return bytes(int(text[i:i + 8], 2) for i in range(0, len(text), 8)).replace(b"\xff", b"\xff\x00")
+
+    def scan(units):
+        data, n = b"", 0
+        for i, unit in enumerate(units):
+            if restart and i and i % restart == 0:
+                data += ended() + bytes([0xFF, 0xD0 + n % 8])
+                n += 1
+            for x in unit:
+                block(*x)
+        return data + ended()
+
+    head = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xdb\x00\x43\x00" + bytes([4] * 64) + b"\xff\xc0" + (8 + 3 * len(parts)).to_bytes(2, "big") + b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big")
+    head += bytes([len(parts)]) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(parts)) + jpeg_media.table_segment(0, dc) + jpeg_media.table_segment(0x10, ac)
+    head += b"\xff\xdd\x00\x04" + restart.to_bytes(2, "big")
+    shape = [(-(-height * v // (8 * most_v)), -(-width * h // (8 * most_h))) for h, v in parts]
+    if apart:
+        body = b""
+        for k, (r, c) in enumerate(shape):
+            body += b"\xff\xda\x00\x08\x01" + bytes([k + 1]) + b"\x00\x00\x3f\x00" + scan([[(k, (y, x))] for y in range(r) for x in range(c)])
+    else:
+        units = [[(k, (my * v + y, mx * h + x)) for k, (h, v) in enumerate(parts) for y in range(v) for x in range(h)] for my in range(rows) for mx in range(columns)]
+        body = b"\xff\xda" + (6 + 2 * len(parts)).to_bytes(2, "big") + bytes([len(parts)]) + b"".join(bytes([k + 1, 0]) for k in range(len(parts))) + b"\x00\x3f\x00" + scan(units)
+    r, c = shape[0]
+    return head + body + b"\xff\xd9", [[min(255, max(0, int(np.rint(out[y, x] * 4 / 8 + 128)))) for x in range(c)] for y in range(r)]
+
+
+@pytest.mark.parametrize("parts", ([(2, 2), (1, 1), (1, 1)], [(1, 1), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 1), (2, 2)]))
+def test_media_reads_colour(parts):
+    rng = random.Random(4)
+    for width, height in ((40, 24), (1, 1), (33, 70)):
+        for restart in (0, 2):
+            for apart in (False, True):
+                data, light = colour_jpeg(rng, width, height, parts, restart, apart)
+                assert jpeg_media.read_images([data])[0][0].tolist() == light
+
+
+def test_media_reader_names_what_it_cannot_read(spark):
+    good, light = colour_jpeg(random.Random(1), 50, 50, [(2, 2), (1, 1), (1, 1)])
+    grey = jpeg_media.store(["some text"])[1][0]
+    rows = [(1, good), (2, None), (3, b""), (4, b"GIF89a"), (5, good[:len(good) * 2 // 3]), (6, good.replace(b"\xff\xc0", b"\xff\xc2")), (7, grey), (8, grey[:-20] + b"\xff\xd9"), (9, good[:60]), (10, good + b"junk")]
+    table = spark.createDataFrame([(i, m, "old") for i, m in rows], "doc_id long, media binary, media_error string")
+    got = {r.doc_id: r for r in jpeg_media.thumbnails(table).collect()}
+    assert [i for i in got if got[i].media_error is None] == [1, 7, 10] and len(got) == 10
+    assert (got[1].thumb_width, got[1].thumb_height) == (len(light[0]), len(light)) and got[1].thumb_hash == got[10].thumb_hash
+    assert all(got[i].thumb_hash is None and got[i].thumb_width is None for i in (2, 3, 4, 5, 6, 8, 9))
+    assert jpeg_media.thumbnails(table.limit(0)).collect() == []
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p><p>no</p>"</script></head><body class="page ad-page"><header><h1>Site</h1><a href=/>Home</a></header><div id="cookie-notice">We use cookies.</div>
 <div class="sidebar"><p>Related long text that is here for long, with many words in it to fool you. Yes it is.</p></div><main><article><header><h1>Title &amp; more</h1></header><p>One <i>two</i>three
 &#8212; <a href=x>link</a>.</p><!-- <p>hidden</p> --><div class="advert">Buy now, it is very cheap. Long text long text long text long text.</div><p>Short.<ul><li>item a<li>item b</ul>

@@ -66,6 +66,8 @@ class WordBpe:
         self.merged = np.array([vocab[a + b] for a, b in model["merges"]], kind)
         self.inside, self.last = self.inside.astype(kind), self.last.astype(kind)
         self.special = re.compile("|".join(map(re.escape, self.added))) if self.added else None
+        #: A character of all special tokens, if they share one: texts without it need no search.
+        self.mark = next((c for c in min(self.added, key=len) if all(c in t for t in self.added)), "") if self.added else ""
         self.known: dict[str, bytes] = {}
         self.spelled: dict[bytes, str] = {}
 
@@ -148,7 +150,7 @@ class WordBpe:
         """Lists of words, or a special token's id, in order; each list is of a block at most."""
         at = 0
         while at < len(text):
-            special = self.special.search(text, at) if self.special and "<" in text else None
+            special = self.special.search(text, at) if self.special and self.mark in text else None
             stop = special.start() if special else len(text)
             while at < stop:
                 end = stop

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -95,7 +96,9 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int, int]:
     at += 2
     found: dict = {"restart": 0}
     while True:
-        if data[at] != 0xFF:
+        while data[at:at + 2] == b"\xff\xff":
+            at += 1
+        if data[at:at + 1] != b"\xff" or at + 4 > len(data):
             raise ValueError("no marker")
         marker, size = data[at + 1], int.from_bytes(data[at + 2:at + 4], "big")
         body = data[at + 4:at + 2 + size]
@@ -111,21 +114,88 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int, int]:
                 found["codes", body[0]] = tuple((next(symbols), n) for n, k in enumerate(counts, 1) for _ in range(k))
                 body = body[17 + sum(counts):]
         elif marker == 0xC0:
-            if body[0] != 8 or body[5] != 1:
-                raise ValueError("only 8-bit images of one component are read")
-            found |= {"height": int.from_bytes(body[1:3], "big"), "width": int.from_bytes(body[3:5], "big"), "table": body[8]}
+            parts = [(body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3)]
+            found |= {"height": int.from_bytes(body[1:3], "big"), "width": int.from_bytes(body[3:5], "big"), "parts": parts}
+            if body[0] != 8 or not parts or not found["height"] or not found["width"] or not all(0 < h < 5 and 0 < v < 5 for _, h, v, _ in parts):
+                raise ValueError("no 8-bit image of stated size")
+            found["table"] = parts[0][3]
         elif 0xC0 < marker < 0xD0:
             raise ValueError("not a baseline image")
         elif marker == 0xDD:
             found["restart"] = int.from_bytes(body, "big")
         elif marker == 0xDA:
-            found["dc"], found["ac"] = body[2] >> 4, 0x10 | body[2] & 15
+            if "parts" not in found:
+                raise ValueError("no frame before the scan")
+            scan = {body[1 + 2 * k]: (body[2 + 2 * k] >> 4, 0x10 | body[2 + 2 * k] & 15) for k in range(body[0])}
             start = at + 2 + size
             end = data.find(b"\xff\xd9", start)
-            return found, start, len(data) if end < 0 else end
+            end = len(data) if end < 0 else end
+            if body[0] < len(found["parts"]):
+                # The components come in scans of their own; luminance is the first one's.
+                if list(scan) != [found["parts"][0][0]]:
+                    raise ValueError("luminance shares a scan with some components only")
+                found["alone"], stop = True, data.find(b"\xff\xda", start)
+                for kind in (b"\xff\xc4", b"\xff\xdb", b"\xff\xdd", b"\xff\xda"):
+                    stop = min((x for x in (stop, data.find(kind, start, end)) if x >= 0), default=-1)
+                found["stop"] = end if stop < 0 else stop
+            elif set(scan) != {p[0] for p in found["parts"]}:
+                raise ValueError("a scan of components without a frame")
+            found["scan"] = scan
+            found["dc"], found["ac"] = scan[found["parts"][0][0]]
+            found["start"] = start
+            return found, start, end
         at += 2 + size
 
 
+def layout(spec: dict) -> tuple[int, int, int, int]:
+    """Luminance blocks down and across, and the units of a scan (MCUs) down and across."""
+    most_h, most_v = max(p[1] for p in spec["parts"]), max(p[2] for p in spec["parts"])
+    _, h, v, _ = spec["parts"][0]
+    down, across = -(-spec["height"] * v // (8 * most_v)), -(-spec["width"] * h // (8 * most_h))
+    return down, across, -(-spec["height"] // (8 * most_v)), -(-spec["width"] // (8 * most_h))
+
+
+def read_interleaved(spec: dict, scan: bytes) -> np.ndarray:
+    """The luminance's DC coefficients, still quantised, of one scan of several components."""
+    down, across, rows, columns = layout(spec)
+    most = spec["parts"][0][1:3]
+    out = np.zeros((rows * most[1], columns * most[0]), np.int64)
+    plan = []
+    for k, (name, h, v, _) in enumerate(spec["parts"]):
+        dc, ac = spec["scan"][name]
+        plan += [(k, y, x, _lookup(spec["codes", dc]).tolist(), _lookup(spec["codes", ac]).tolist()) for y in range(v) for x in range(h)]
+    units = rows * columns
+    step = spec["restart"] or units
+    parts = re.split(rb"\xff[\xd0-\xd7]", scan)
+    if len(parts) < -(-units // step):
+        raise ValueError("wrong number of restart intervals")
+    for begin, part in zip(range(0, units, step), parts):
+        raw = part.replace(b"\xff\x00", b"\xff")
+        data, pos, end = raw + b"\xff\xff\xff\xff", 0, 8 * len(raw)
+        level = [0] * len(spec["parts"])
+        for unit in range(begin, min(begin + step, units)):
+            for k, y, x, dc, ac in plan:
+                place = -1
+                while place < 63:
+                    at = pos >> 3
+                    bits = int.from_bytes(data[at:at + 5], "big") >> (8 - (pos & 7)) & 0xFFFFFFFF
+                    found = (dc if place < 0 else ac)[bits >> 16]
+                    pos += found & 255
+                    run, size = (0, found >> 8) if place < 0 else (found >> 12, found >> 8 & 15)
+                    pos += size
+                    if found < 0 or pos > end or size > 16:
+                        raise ValueError("bad code, or the scan ends early")
+                    if place < 0:
+                        value = bits >> (32 - (found & 255) - size) & ((1 << size) - 1)
+                        level[k] += value if not size or value >> (size - 1) else value - (1 << size) + 1
+                    elif not size and run < 15:
+                        break
+                    place += run + 1
+                if not k:
+                    out[unit // columns * most[1] + y, unit % columns * most[0] + x] = level[0]
+    return out[:down, :across].ravel()
+
+
 @functools.lru_cache(maxsize=16)
 def _lookup(codes: tuple) -> np.ndarray:
     """By the next 16 bits: symbol << 8 | length of the code, or -1."""
@@ -197,9 +267,10 @@ def read_scans(scans: list[np.ndarray], blocks: int, dc: tuple, ac: tuple, resta
     begins = np.concatenate([[0], (mark + 2)[:-1]])
     pos = (begins - np.cumsum(np.concatenate([[0], gone]))[begins]) << 3
     each = np.concatenate([np.minimum(restart or n, n - np.arange(0, n, restart or n)) for n in blocks])
-    if len(each) != len(pos):
+    if len(each) != len(pos) or not len(each):
         raise ValueError("wrong number of restart intervals")
     window = data[:-3].astype(np.uint32) << 24 | data[1:-2].astype(np.uint32) << 16 | data[2:-1].astype(np.uint32) << 8 | data[3:]
+    ends = (np.concatenate([begins[1:], [len(raw)]]) - np.cumsum(np.concatenate([[0], gone]))[np.concatenate([begins[1:], [len(raw)]])]) << 3
     table = _blocks(dc, ac)
     out = np.zeros((len(pos), int(each.max())), np.int32)
     level = np.zeros(len(pos), np.int32)
@@ -216,6 +287,8 @@ def read_scans(scans: list[np.ndarray], blocks: int, dc: tuple, ac: tuple, resta
         level[:active] += diff.astype(np.int32)
         pos[:active] += bits
         out[order[:active], i] = level[:active]
+    if (pos > ends[order]).any():
+        raise ValueError("the scan ends early")
     flat = out[np.arange(out.shape[1]) < each[:, None]]
     return np.split(flat, np.cumsum(blocks)[:-1])
 
@@ -225,27 +298,40 @@ def read_images(files: list[bytes]) -> list[list[np.ndarray]]:
     found = []
     for k, data in enumerate(files):
         at = 0
-        while at < len(data):
+        while at < len(data) and (not at or data[at:at + 2] == b"\xff\xd8"):
             spec, start, end = parse(data, at)
             found.append((k, spec, np.frombuffer(data, np.uint8, end - start, start)))
             at = end + 2
     kinds: dict[tuple, list[int]] = {}
-    for i, (_, spec, _) in enumerate(found):
+    levels = {}
+    for i, (_, spec, scan) in enumerate(found):
+        if spec["quantiser", spec["table"]] < 1:
+            raise ValueError("no quantiser")
+        if len(spec["parts"]) > 1 and "alone" not in spec:
+            levels[i] = read_interleaved(spec, scan.tobytes())
+            continue
         kinds.setdefault((spec["codes", spec["dc"]], spec["codes", spec["ac"]], spec["restart"]), []).append(i)
-    images: list = [None] * len(found)
     for (dc, ac, restart), own in kinds.items():
-        shapes = [(-(-found[i][1]["height"] // 8), -(-found[i][1]["width"] // 8)) for i in own]
-        levels = read_scans([found[i][2] for i in own], [h * w for h, w in shapes], dc, ac, restart)
-        for i, shape, level in zip(own, shapes, levels):
-            spec = found[i][1]
-            light = np.rint(level * spec["quantiser", spec["table"]] / 8 + 128)
-            images[i] = np.clip(light, 0, 255).astype(np.uint8).reshape(shape)
+        blocks = [layout(found[i][1])[0] * layout(found[i][1])[1] for i in own]
+        scans = [found[i][2][: found[i][1]["stop"] - found[i][1]["start"]] if "alone" in found[i][1] else found[i][2] for i in own]
+        levels |= zip(own, read_scans(scans, blocks, dc, ac, restart))
     out: list[list[np.ndarray]] = [[] for _ in files]
-    for (k, _, _), image in zip(found, images):
-        out[k].append(image)
+    for i, (k, spec, _) in enumerate(found):
+        light = np.rint(levels[i] * spec["quantiser", spec["table"]] / 8 + 128)
+        out[k].append(np.clip(light, 0, 255).astype(np.uint8).reshape(layout(spec)[:2]))
     return out
 
 
+def read_images_safely(data: bytes | None) -> tuple[list[np.ndarray] | None, str | None]:
+    """:func:`read_images` of one file, or None and the reason why it cannot be read."""
+    try:
+        if not data:
+            raise ValueError("no data")
+        return read_images([bytes(data)])[0], None
+    except (ValueError, IndexError, KeyError, RuntimeError, MemoryError) as bad:
+        return None, f"{type(bad).__name__}: {bad}"
+
+
 def thumbnail_hash(image: np.ndarray) -> str:
     """64 bits: which cells of an 8 x 8 grid of sums lie above their mean."""
     grid = np.add.reduceat(image, np.arange(8) * image.shape[0] // 8, axis=0, dtype=np.int64)
@@ -313,13 +399,43 @@ def with_media(docs: DataFrame, text_col: str = "text", media_col: str = "media"
     return map_arrow(chosen, run, T.StructType([*chosen.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField(media_col, T.BinaryType())]))
 
 
+def thumbnails(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """Add what can be read from a column of JPEGs: ``thumb_width``, ``thumb_height``, ``thumb_hash``, ``media_error``.
+
+    Baseline images of 8 bits are read, of one component or several (luminance is the first
+    one's), in one scan or one each, with any sampling, tables and restart intervals.  A
+    null, progressive, cut or otherwise bad file gives nulls and the reason, and no other row
+    is touched.  The first image of a file with several counts.  Columns of these names are
+    replaced; others pass through.  An empty table gives an empty result.
+    """
+    from pyspark.sql import types as T
+
+    added = [("thumb_width", T.IntegerType()), ("thumb_height", T.IntegerType()), ("thumb_hash", T.StringType()), ("media_error", T.StringType())]
+    kept = media.select(*[f"`{c}`" for c in media.columns if c not in dict(added)])
+    names = kept.columns
+    at = names.index(media_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in small_batches(batches, at):
+            rows = []
+            for data in batch.column(at).to_pylist():
+                images, bad = read_images_safely(data)
+                rows.append((images[0].shape[1], images[0].shape[0], thumbnail_hash(images[0]), None) if images else (None, None, None, bad or "ValueError: no image"))
+            more = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int32(), pa.int32(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "thumb_width", "thumb_height", "thumb_hash", "media_error"])
+
+    return map_arrow(kept, run, T.StructType([*kept.schema.fields, *(T.StructField(*x) for x in added)]))
+
+
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text as JPEG, read the stored bytes back, and describe them.
 
     A baseline JPEG keeps a byte exactly as the DC coefficient of a block of one value, so
     the payload is the DC-only thumbnail: one pixel a byte, 192 to a row, and every row a
     restart interval.  Reading parses the markers and decodes the scan by the file's own
-    tables; it handles any baseline image of one component, with AC coefficients skipped.
+    tables, with AC coefficients skipped; :func:`thumbnails` reads foreign files so.
 
     Returns ``id_col``, ``n_bytes``, ``payload_bytes``, ``payload_sha256``, ``tail_crc32``,
     ``media_bytes``, ``media_sha256``, ``feature`` (pixels and thumbnail hash of each image).

@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a session in one process (``local[...]``, as in tests) gets a
+    temporary one; a cluster, whose machines do not share such, is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -88,8 +88,9 @@ def shard(docs: DataFrame, tree: Node | None = None, id_col: str = "doc_id", tex
     ``with_shard(tree)``.
 
     ``slot`` is gapless from 0 in each shard.  Rows of a shard are numbered in
-    ``16**digits`` parts (see :func:`~trialweave.llm.common.ranked`), so no task holds a
-    whole shard; raise ``digits`` with the table.
+    ``16**digits`` parts by id, size and checksum (see
+    :func:`~trialweave.llm.common.ranked`), so no task holds a whole shard, nor all rows of
+    one id or without one; raise ``digits`` with the table.
 
     Returns ``id_col``, ``size`` (UTF-8 bytes plus 8), ``text_crc32``, ``law``, ``shard``,
     ``slot``, ``grown_shard``.  A null text has no bytes and the checksum of the empty text.
@@ -103,7 +104,7 @@ def shard(docs: DataFrame, tree: Node | None = None, id_col: str = "doc_id", tex
         F.col(id_col).alias("id"), key.alias("key"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = descend(descend(rows, "key", tree, "shard"), "key", with_shard(tree), "grown_shard")
-    out = ranked(rows, "shard", ["key", "size", "text_crc32"], hex_bucket(F.col("key"), digits), "slot")
+    out = ranked(rows, "shard", ["key", "size", "text_crc32"], hex_bucket(F.concat_ws("|", "key", "size", "text_crc32"), digits), "slot")
     return out.select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"),
         F.col("slot").cast("long").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"))
@@ -134,5 +135,5 @@ c AS (SELECT doc_id, key, octet_length(raw) + 8 AS size,
           lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1)), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM b
       UNION ALL SELECT doc_id, key, 8, 0 FROM k WHERE octet_length(raw) = 0),
 s AS (SELECT *, {_node_sql(tree)} AS shard, {_node_sql(with_shard(tree))} AS grown_shard FROM c)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key), 1, 2), key, size, text_crc32) - 1 AS slot, grown_shard FROM s
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || '|' || size || '|' || text_crc32), 1, 2), key, size, text_crc32) - 1 AS slot, grown_shard FROM s
 """

@@ -35,6 +35,21 @@ def ranked(df: DataFrame, group: str, order: list[str], bucket: Column, out: str
     return joined.withColumn(out, F.col("__start") + F.col("__r") - 1).drop("__b", "__g", "__gb", "__start", "__r")
 
 
+#: Ids that are broadcast at most.
+SMALL_IDS = 1 << 20
+
+
+def having(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``id`` is among the one column of ``ids``.
+
+    The distinct ids are counted first: up to ``SMALL_IDS`` of them are broadcast, and ``df``
+    does not move; beyond that both sides are dealt by id.
+    """
+    one = saved(ids.select(F.col(ids.columns[0]).alias("__one")).distinct())
+    side = F.broadcast(one) if one.count() <= SMALL_IDS else one.hint("merge")
+    return df.join(side, df["id"] == side["__one"], "left_semi")
+
+
 def small_batches(batches, sizes, limit: int = 4 << 20, per_row: int = 64, per_byte: int = 1):
     """Slice Arrow batches so that each slice needs about ``limit`` bytes.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.functions.ship import map_arrow, ship
-from trialweave.llm.common import saved, small_batches
+from trialweave.llm.common import having, saved, small_batches
 
 #: Words in a shingle; the least similarity of a link, in hundredths.
 WORDS, SIMILAR = 5, 75
@@ -28,13 +28,13 @@ ALL_PAIRS = 16
 CENTRAL = 3
 #: Members on the two sides of a block, in expectation, when components of a bucket or family are compared,
 #: and the shingles of their texts.
-LEFT, RIGHT = 512, 4096
-LEFT_SHINGLES, RIGHT_SHINGLES = 1 << 18, 1 << 20
+LEFT, RIGHT = 256, 4096
+LEFT_SHINGLES, RIGHT_SHINGLES = 1 << 16, 1 << 18
 #: Consecutive bands that agree in the buckets of each level of refinement.
 REFINED = (2, 4)
 #: Bytes of a text whose words are read at a time; word hashes that a worker remembers.
 BLOCK = 1 << 20
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 16
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Standard deviations by which an estimate may fall short of ``SIMILAR`` before its pair is dropped.
 SLACK = 5.3
@@ -277,7 +277,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in small_batches(batches, (2, 3)):
+        for batch in small_batches(batches, (2, 3), 2 << 20):
             at: dict[str, int] = {}
             left, right = ([at.setdefault(t, len(at)) for t in batch.column(c).to_pylist()] for c in (2, 3))
             owner, code = exact_sets(list(at))
@@ -431,7 +431,7 @@ def linked(on_left: np.ndarray, c: np.ndarray, owner: np.ndarray, code: np.ndarr
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
     both = np.zeros((len(left), len(right)), np.int64)
-    width = 2048
+    width = 1024
     for k in range(0, int(code.max(initial=-1)) + 1, width):
         x, y = np.searchsorted(code, (k, k + width))
         o, w = owner[x:y], code[x:y] - k
@@ -503,15 +503,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     real = rows.filter("n > 0 and id is not null")
     repeats = not rows.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").isEmpty()
     classes = saved(real.groupBy("same").agg(F.min("id").alias("rep")))
-    reps = real.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "same", "n", "sig", "bands")
-    if repeats:
-        reps = saved(reps.dropDuplicates(["id", "same"]))
+    reps = having(real, classes.select("rep")).select("id", "same", "n", "sig", "bands")
+    reps = saved(reps.dropDuplicates(["id", "same"]) if repeats else reps)
     member = saved(real.join(classes.withColumnRenamed("same", "s"), F.col("same") == F.col("s")).select("id", "n", "rep"))
     pairs, large = candidates(reps.select("id", "bands"))
     sig = reps.select(F.col("id").alias("i"), "sig")
     rated = saved(rate(pairs, sig))
     every = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    texts = saved(every.join(rated.select("a").union(rated.select("b")).distinct(), F.col("id") == F.col("a"), "left_semi"))
+    texts = saved(having(every, rated.select("a").union(rated.select("b"))))
     best = rated.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("na"), "a"))["a"].alias("a")).select("a", "b")
     links = confirmed(best, texts)
     if repeats:
@@ -529,7 +528,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         sizes = reps.select(F.col("id").alias("i"), "n")
         own = saved(families(large, roots, reps.select(F.col("id").alias("i"), "n", "sig")))
         if not own.isEmpty():
-            more = saved(crossing(own, roots, sizes, every.join(own.select(F.col("id").alias("i")), F.col("id") == F.col("i"), "left_semi")))
+            more = saved(crossing(own, roots, sizes, having(every, own.select("id"))))
             if not more.isEmpty():
                 roots = components(more.union(roots.select("id", "root")))
     named = roots.withColumnRenamed("id", "i")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trialweave.operators import calibrate, closed_form, cohort, corrections, facts, readout, resample, state
 from trialweave.operators.grid import make_grid
-from trialweave.operators.moments import arm_moments, moments_by_look, pair_up
+from trialweave.operators.moments import arm_moments, merge, moments_by_look, pair_up
 from trialweave.plans import experiment as ex
 from trialweave.sources.tables import KEYS, Store, scan, schema
 
@@ -44,7 +44,7 @@ def both_ways(spark, nulls):
     f = facts.exposed(panel_rows(spark, nulls), c, "user", "ts", GRID.start, GRID.horizon)
     roles = {"value": ("max", "value"), "k": ("count", "1")}
     run = facts.running_units(f, GRID, "ts", roles)
-    fast = moments_by_look(run, len(GRID.ends), "value", "k", shift={"value": 1000.0})
+    fast = moments_by_look(run, len(GRID.ends), "value", "k")
     slow = arm_moments(facts.unit_panel(run, GRID, roles), ["look", "variant"], "value", "k")
     return [{(r.look, r.variant): r.asDict() for r in x.collect()} for x in (fast, slow)]
 
@@ -57,6 +57,23 @@ def test_moments_from_changes_equal_moments_of_the_panel(spark):
             assert fast[k][c] == (v if isinstance(v, str) else pytest.approx(v, rel=1e-9, abs=1e-6)), (k, c)
 
 
+def test_moments_of_a_large_mean_keep_their_digits(spark):
+    """1,000 units at mean 1e9 with spread 1, at every look, and merged from parts."""
+    rng = np.random.default_rng(8)
+    values = 1e9 + rng.normal(0, 1, (2, 1000))
+    rows = [(f"{v}{u}", v, k, k == 0, float(values[i, u]) - 3.0 * (k == 0)) for i, v in enumerate("ct") for u in range(1000) for k in (0, 1)]
+    run = spark.createDataFrame(rows, "unit_id string, variant string, look int, is_new boolean, value double")
+    got = {(r.variant, r.look): r for r in moments_by_look(run, 3, "value").collect()}
+    parts = arm_moments(run.withColumn("part", F.pmod(F.hash("unit_id"), F.lit(7))), ["variant", "look", "part"], "value")
+    whole = {(r.variant, r.look): r for r in merge(parts, ["variant", "look"], "value").collect()}
+    for i, v in enumerate("ct"):
+        for k in range(3):
+            x = values[i] - 3.0 * (k == 0)
+            for r, close in ((got[v, k], 1e-9), (whole.get((v, k), got[v, k]), 1e-7)):  # a part's own mean has 16 digits
+                assert r.n == 1000 and r.m2_value == pytest.approx(((x - x.mean()) ** 2).sum(), rel=close)
+                assert r.mean_value == pytest.approx(x.mean(), rel=1e-15)
+
+
 def test_nulls_void_an_arm(spark):
     arms = spark.createDataFrame([("t", 1.0), ("t", None), ("c", 2.0), ("c", 4.0)], "variant string, value double")
     got = {r.variant: r for r in arm_moments(arms, ["variant"], "value").collect()}

@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.functions.columns import div, floor0
+from trialweave.functions.columns import div, finite, floor0
 
 
 def moments(*roles: str) -> list[Column]:
@@ -31,41 +31,43 @@ def arm_moments(units: DataFrame, by: list[str], *roles: str) -> DataFrame:
     return units.groupBy(*by).agg(*moments(*roles))
 
 
-def moments_by_look(running: DataFrame, n_looks: int, *roles: str, fixed: tuple[str, ...] = (), groups: list[tuple[str, ...]] | None = None, shift: dict[str, float] | None = None) -> DataFrame:
+def moments_by_look(running: DataFrame, n_looks: int, *roles: str, fixed: tuple[str, ...] = (), groups: list[tuple[str, ...]] | None = None) -> DataFrame:
     """Arm moments at every look from rows where a unit's value changed.
 
     At a look a unit adds the change of its values, squares and products; the changes are
     summed per (variant, look), a table of looks x variants rows, and then along the looks.
     Units x looks rows never exist.  ``fixed`` roles (a covariate) do not change after a
     unit's first row.  Products are kept within each of ``groups`` (default: one group of
-    all roles).  Where a role's mean is large against its spread, give a constant near the
-    mean in ``shift``; it is taken off before squaring.
+    all roles).  Every role is centred on its grand mean, one row that is broadcast, before
+    anything is squared, so a mean that is large against the spread costs no digits.  The
+    mean's branch of the plan reuses the shuffle of the other: facts are read once.
     """
     every = [*roles, *fixed]
-    shift = {r: 0.0 for r in every} | (shift or {})
+    running = running.crossJoin(F.broadcast(running.agg(*[F.coalesce(finite(F.avg(F.col(r).cast("double"))), F.lit(0.0)).alias(f"shift_{r}") for r in every])))
     pairs = sorted({p for g in groups or [tuple(every)] for p in combinations_with_replacement(g, 2)}, key=lambda p: (every.index(p[0]), every.index(p[1])))
     along = Window.partitionBy("variant", "unit_id").orderBy("look")
-    moved = {r: F.coalesce(F.col(r).cast("double"), F.lit(shift[r])) - F.lit(shift[r]) for r in every}
+    moved = {r: F.coalesce(F.col(r).cast("double") - F.col(f"shift_{r}"), F.lit(0.0)) for r in every}
     bad = {r: F.col(r).isNull().cast("int") for r in every}
     known = running.select(
-        "variant", "look", "is_new", *[bad[r].alias(f"bad_{r}") for r in every], *[moved[r].alias(r) for r in every],
+        "variant", "look", "is_new", *[f"shift_{r}" for r in every], *[bad[r].alias(f"bad_{r}") for r in every], *[moved[r].alias(r) for r in every],
         *[F.lag(moved[r]).over(along).alias(f"was_{r}") for r in every], *[F.lag(bad[r]).over(along).alias(f"wasbad_{r}") for r in every])
 
     def change(now: Column, was: Column) -> Column:
         return F.sum(now - F.when(F.col("is_new"), 0).otherwise(was))
 
     sums = known.groupBy("variant", "look").agg(
-        F.count_if("is_new").alias("n"),
+        F.count_if("is_new").alias("n"), *[F.min(f"shift_{r}").alias(f"shift_{r}") for r in every],
         *[change(F.col(f"bad_{r}"), F.col(f"wasbad_{r}")).alias(f"b_{r}") for r in every],
         *[change(F.col(r), F.col(f"was_{r}")).alias(f"s_{r}") for r in every],
         *[change(F.col(a) * F.col(b), F.col(f"was_{a}") * F.col(f"was_{b}")).alias(f"p_{a}_{b}") for a, b in pairs])
     # Looks without a change repeat the last totals: each row is stretched to the next one.
     up = Window.partitionBy("variant").orderBy("look")
-    total = sums.select("variant", F.col("look").alias("__from"), F.lead("look").over(up).alias("__next"), *[F.sum(c).over(up).alias(c) for c in sums.columns if c not in ("variant", "look")])
+    shifts = [f"shift_{r}" for r in every]
+    total = sums.select("variant", *shifts, F.col("look").alias("__from"), F.lead("look").over(up).alias("__next"), *[F.sum(c).over(up).alias(c) for c in sums.columns if c not in ("variant", "look", *shifts)])
     total = total.withColumn("look", F.explode(F.sequence("__from", F.coalesce("__next", F.lit(n_looks)) - 1)))
     n = F.col("n")
     good = {r: F.col(f"b_{r}") == 0 for r in every}
-    out = [F.when(good[r], F.col(f"s_{r}") / n + F.lit(shift[r])).alias(f"mean_{r}") for r in every]
+    out = [F.when(good[r], F.col(f"s_{r}") / n + F.col(f"shift_{r}")).alias(f"mean_{r}") for r in every]
     for a, b in pairs:
         centred = F.col(f"p_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / n
         name = f"m2_{a}" if a == b else f"c_{a}_{b}"
@@ -74,18 +76,17 @@ def moments_by_look(running: DataFrame, n_looks: int, *roles: str, fixed: tuple[
 
 
 def merge(parts: DataFrame, by: list[str], *roles: str) -> DataFrame:
-    """Merge persisted partial moments: totals about the merged means (Chan et al.)."""
-    n = F.sum("n")
-    out = [n.alias("n")]
+    """Merge persisted partial moments: spreads about the merged means (Chan et al.), which are found first."""
+    whole = Window.partitionBy(*by)
+    total = F.sum("n").over(whole).cast("double")
+    parts = parts.select("*", *[div(F.sum(F.col("n") * F.col(f"mean_{r}")).over(whole), total).alias(f"__g_{r}") for r in roles])
+    off = {r: F.col(f"mean_{r}") - F.col(f"__g_{r}") for r in roles}
+    out = [F.sum("n").alias("n")]
     for r in roles:
-        mean = div(F.sum(F.col("n") * F.col(f"mean_{r}")), n.cast("double"))
-        spread = F.sum(F.col("n") * F.col(f"mean_{r}") * F.col(f"mean_{r}")) - n * mean * mean
-        out += [mean.alias(f"mean_{r}"), (F.sum(f"m2_{r}") + floor0(spread)).alias(f"m2_{r}")]
+        out += [F.min(f"__g_{r}").alias(f"mean_{r}"), F.sum(F.col(f"m2_{r}") + F.col("n") * off[r] * off[r]).alias(f"m2_{r}")]
     for a, b in combinations_with_replacement(roles, 2):
         if a != b:
-            ma = div(F.sum(F.col("n") * F.col(f"mean_{a}")), n.cast("double"))
-            mb = div(F.sum(F.col("n") * F.col(f"mean_{b}")), n.cast("double"))
-            out.append((F.sum(f"c_{a}_{b}") + F.sum(F.col("n") * F.col(f"mean_{a}") * F.col(f"mean_{b}")) - n * ma * mb).alias(f"c_{a}_{b}"))
+            out.append(F.sum(F.col(f"c_{a}_{b}") + F.col("n") * off[a] * off[b]).alias(f"c_{a}_{b}"))
     return parts.groupBy(*by).agg(*out)
 
 

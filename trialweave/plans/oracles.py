@@ -102,7 +102,7 @@ t AS (SELECT *, coalesce(pvalue < {A!r}, FALSE) AS reject FROM f5) {_OUT}"""
 
 
 def _metric(name: str, main: bool, guard: bool, alpha: float) -> str:
-    return (f"SELECT '{name}' AS metric, {str(main).upper()} AS is_main_metric, {str(guard).upper()} AS is_guardrail, {alpha!r} AS alpha, t.*, p.n1::BIGINT AS size_1, p.n2::BIGINT AS size_2 "
+    return (f"SELECT '{name}' AS metric, {str(main).upper()} AS is_main_metric, {str(guard).upper()} AS is_guardrail, {alpha!r}::DOUBLE AS alpha, t.*, p.n1::BIGINT AS size_1, p.n2::BIGINT AS size_2 "
             f"FROM {name}_ t JOIN p USING ({KEYS})")
 
 

@@ -592,7 +592,7 @@ def final_units(spark, d) -> DataFrame:
 
 _POISSON = "CASE " + " ".join(f"WHEN u < {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r} THEN {k}" for k in range(12)) + " ELSE 12 END"
 _BOOT = f"""WITH {BASE}, b AS (SELECT variant, unit_id, value, i AS replicate, ('0x' || substr(md5(unit_id || '|' || i || '|7'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM units, range(60) t(i) WHERE look = 22),
-w AS (SELECT variant, replicate, sum(({_POISSON}) * value) / sum({_POISSON}) AS value FROM b GROUP BY 1, 2)"""
+w AS (SELECT variant, replicate, sum(({_POISSON}) * value) / nullif(sum({_POISSON}), 0) AS value FROM b GROUP BY 1, 2)"""
 
 
 @query(f"{_BOOT} SELECT variant, replicate::INTEGER AS replicate, {r('value')} FROM w")
@@ -601,9 +601,10 @@ def bootstrap_poisson_replicates(spark, d):
     return reps.select("variant", "replicate", "value")
 
 
-@query(f"""{_BOOT}, f AS (SELECT a.replicate, (b.value - a.value) / a.value AS boot FROM w a JOIN w b USING (replicate) WHERE a.variant = 'control' AND b.variant = 't2')
-SELECT 'revenue' AS metric, count(*) AS n_samples, round(avg(boot), 6) AS boot_mean, round(quantile_cont(boot, 0.025), 6) AS left_bound, round(quantile_cont(boot, 0.975), 6) AS right_bound, round(quantile_cont(boot, 0.975) - quantile_cont(boot, 0.025), 6) AS ci_length,
-round(least(2.0 * least(count_if(boot > 0), count_if(boot < 0)) / count(*), 1), 6) + 0.0 AS pvalue, 2.0 * least(count_if(boot > 0), count_if(boot < 0)) / count(*) < 0.05 AS reject FROM f""")
+@query(f"""{_BOOT}, f AS (SELECT a.replicate, (b.value - a.value) / nullif(a.value, 0) AS boot FROM w a JOIN w b USING (replicate) WHERE a.variant = 'control' AND b.variant = 't2')
+SELECT 'revenue' AS metric, count(*) AS n_samples, round(avg(boot), 6) AS boot_mean, CASE WHEN count(boot) = count(*) THEN round(quantile_cont(boot, 0.025), 6) END AS left_bound, CASE WHEN count(boot) = count(*) THEN round(quantile_cont(boot, 0.975), 6) END AS right_bound,
+CASE WHEN count(boot) = count(*) THEN round(quantile_cont(boot, 0.975) - quantile_cont(boot, 0.025), 6) END AS ci_length, CASE WHEN count(boot) = count(*) THEN round(least(2.0 * least(count_if(boot > 0), count_if(boot < 0)) / count(*), 1), 6) + 0.0 END AS pvalue,
+count(boot) = count(*) AND 2.0 * least(count_if(boot > 0), count_if(boot < 0)) / count(*) < 0.05 AS reject FROM f""")
 def bootstrap_poisson(spark, d):
     reps = resample.poisson_replicates(final_units(spark, d), ["metric"], 60, seed=7)
     return resample.bootstrap_test(resample.replicate_effects(reps, ["metric"], ("control", "t2"), "relative"), ["metric"])

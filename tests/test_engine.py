@@ -227,17 +227,24 @@ def test_store_keeps_versions_and_days(spark):
     store.replace_day(day(2, 7.0))
     store.replace_day(day(1, 6.0))
     assert state.total(store.raw("unit_state"), date(2024, 1, 1), date(2024, 1, 2)).first().sum_value == 13.0
-    task = lambda s: spark.createDataFrame([("e", "all", "run", s)], "experiment string, scope string, process_type string, status string")
-    store.upsert("tasks", task("running"))
-    store.upsert("tasks", task("done"))
-    assert [r.status for r in store.read("tasks").collect()] == ["done"]
-    store.delete("tasks", F.col("status") == "done")
-    assert store.raw("tasks").count() == 0 and store.exists("tasks") and store.columns("tasks")[0] == "experiment"
+    known = lambda s: spark.createDataFrame([("e", s)], "experiment string, status string")
+    store.upsert("experiments", known("running"))
+    store.upsert("experiments", known("done"))
+    assert [r.status for r in store.read("experiments").collect()] == ["done"]
+    store.delete("experiments", F.col("status") == "done")
+    assert store.raw("experiments").count() == 0 and store.exists("experiments") and store.columns("experiments")[0] == "experiment"
+    store.create("tasks")
+    for d in (3, 4, 5):
+        store.replace_day(day(d, 1.0))
+    store.truncate_days("k", date(2024, 1, 4))
+    assert sorted(r.day.day for r in store.raw("unit_state").collect()) == [1, 2, 3]
+    store.delete("unit_state", F.col("day") == date(2024, 1, 2))
+    assert sorted((r.day.day, r.sum_value) for r in store.raw("unit_state").collect()) == [(1, 6.0), (3, 1.0)]
     assert store.newest("exposures", "loaded_at") == datetime(2024, 1, 3) and store.newest("tasks", "updated_at") is None
     with pytest.raises(ValueError):
         store.add_columns("tasks", type(schema("tasks"))([type(schema("tasks")[0])("more", schema("tasks")[0].dataType, False)]))
     assert {r.experiment for r in store.known_experiments().collect()} == {"e"}
-    assert set(KEYS) == {"experiments", "exposures", "unit_state", "results", "aa_runs", "tasks", "notify_states"} and len(schema("results")) == 46
+    assert set(KEYS) == {"experiments", "exposures", "unit_state", "unit_state_batches", "results", "aa_runs", "tasks", "notify_states"} and len(schema("results")) == 46
 
 
 def test_scan_binds_parameters(spark):
@@ -304,6 +311,58 @@ def test_command_line(spark, tmp_path, capsys):
     assert token and acquire(store, "x") is None and active(store, "x") and not release(store, "other", "x") and release(store, token, "x") and active(store, "x") is None
 
 
+def test_claims_are_never_lost(spark):
+    from trialweave.sources import tasks
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS claims")
+    store, t = Store(spark, "claims"), datetime(2024, 1, 1)
+    tasks._put(store, "e", "all", "run", "running", t, t, "b", None, 3600)  # two claims that have met
+    tasks._put(store, "e", "all", "run", "running", t, t, "a", None, 3600)
+    assert tasks.active(store, "e", now=t)["locked_by"] == "a" and tasks.acquire(store, "e", now=t) is None
+    assert tasks.release(store, "a", "e") and tasks.active(store, "e", now=t)["locked_by"] == "b"
+    assert tasks.active(store, "e", now=datetime(2024, 1, 2)) is None  # stale
+    token = tasks.acquire(store, "e", now=datetime(2024, 1, 2))
+    assert token and tasks.acquire(store, "other", now=datetime(2024, 1, 2)) and not tasks.release(store, "x", "e") and tasks.release(store, "", "e", force=True)
+
+
+def test_late_metrics_get_their_earlier_looks(spark):
+    """Rows are pending by metric, method, pair and look; a change of the kind of interval recomputes a series."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS late")
+    store = Store(spark, "late")
+    c = assignment(spark, [(str(u), "ct"[u % 2], u % 5) for u in range(40)])
+    two = CONFIG["metrics"] + [{"name": "k", "kind": "sample", "roles": {"value": {"aggregate": "count", "expression": "1"}}}]
+    config = lambda names: ex.from_config(json.dumps(CONFIG | {"metrics": two, "comparisons": [{"metric": m, "method": "t-test", "params": {"test_type": "absolute"}} for m in names]}))
+    e, metrics = config(["m"])
+    store.save_results(ex.results(e, metrics, panel_rows(spark), c, watermark=datetime(2024, 1, 3, 12)), datetime(2024, 1, 3))
+    e, metrics = config(["m", "k"])
+    done = state.settled(store.read("results"), False).withColumn("end_ts", F.col("end_ts").cast("timestamp_ntz"))
+    more = ex.results(e, metrics, panel_rows(spark), c, computed=done)
+    assert sorted((r.metric, r.look) for r in more.collect()) == [("k", 0), ("k", 1), ("k", 2), ("k", 3), ("m", 2), ("m", 3)]
+    store.save_results(more, datetime(2024, 1, 2))
+    stamps = [r.created_at for r in store.raw("results").orderBy("created_at").collect()]
+    assert len(set(stamps)) == 8 and stamps[2] > datetime(2024, 1, 3)
+    assert state.settled(store.read("results"), False).count() == 8 and state.settled(store.read("results"), True).count() == 0
+
+
+def test_streamed_day_state_and_exposures(spark, tmp_path):
+    """A day over two micro-batches adds up, and an exposure is the first one in any order."""
+    from trialweave.streaming.cohort import exposures, keep_day_state
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS streamed")
+    store = Store(spark, "streamed")
+    kind = "variant string, unit_id string, ts timestamp_ntz, value double"
+    batches = [[("c", "u", datetime(2024, 1, 1, 9), 2.0), ("c", "v", datetime(2024, 1, 1, 9), 1.0)], [("c", "u", datetime(2024, 1, 1, 8), 3.0), ("c", "u", datetime(2024, 1, 2, 8), 4.0)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        keep_day_state(stream, store, ("s", "k"), "UTC", "ts", F.sum("value")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.unit_id, r.day.day): (r.n, r.sum_value, r.sum_value_sq) for r in store.raw("unit_state").collect()}
+    assert got == {("u", 1): (1, 5.0, 25.0), ("v", 1): (1, 1.0, 1.0), ("u", 2): (1, 4.0, 16.0)}
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    exposures(stream, "unit_id", F.col("variant"), "ts").writeStream.outputMode("complete").format("memory").queryName("first_seen").trigger(availableNow=True).start().awaitTermination()
+    assert {(r.unit_id, r.exposure_ts.hour, r.n_rows) for r in spark.table("first_seen").collect()} == {("u", 8, 3), ("v", 9, 1)}
+
+
 def test_scanned_rows(spark, tmp_path):
     from trialweave.sources.tasks import scanned_rows
 

@@ -38,7 +38,8 @@ def run(spark: SparkSession, args) -> int:
     try:
         done = None
         if store.exists("results") and not args.full_refresh:
-            done = store.read("results").filter(F.col("experiment") == experiment.name).select(F.col("end_ts").cast("timestamp_ntz").alias("end_ts"))
+            done = state.settled(store.read("results").filter(F.col("experiment") == experiment.name), experiment.sequential)
+            done = done.withColumn("end_ts", F.col("end_ts").cast("timestamp_ntz"))
         now = args.now or datetime.now()
         rows = ex.results(experiment, metrics, facts, assigned, min(now, experiment.grid().horizon), done)
         store.save_results(rows, datetime.now())

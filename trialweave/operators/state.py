@@ -68,6 +68,19 @@ def complete_looks(results: DataFrame, pairs: list[tuple[str, str]]) -> DataFram
     return have.groupBy("metric", "end_ts").agg(F.countDistinct("name_1", "name_2").alias("n_pairs")).filter(F.col("n_pairs") == len(pairs))
 
 
+def settled(stored: DataFrame, sequential: bool, interval_free: list[str] | None = None) -> DataFrame:
+    """Keys of the stored rows that stand: judged rows whose kind of interval is the one now asked for.
+
+    Series that have changed between fixed and always-valid intervals are computed anew as a
+    whole.  ``interval_free`` are method identities that have fixed intervals either way.
+    """
+    keys = ["metric", "method_config_id", "name_1", "name_2"]
+    wanted = F.when(F.col("method_config_id").isin(interval_free or []), "fixed").otherwise("always_valid" if sequential else "fixed")
+    judged = ~F.col("insufficient_data") & F.col("left_bound").isNotNull()
+    changed = stored.filter(judged & (F.col("ci_kind") != wanted)).select(*keys).distinct()
+    return stored.join(changed, keys, "left_anti").select(*keys, "end_ts")
+
+
 def orphans(stored: DataFrame, configured: DataFrame, keys: list[str]) -> DataFrame:
     """Stored series that no configuration claims, with their rows."""
     return stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).join(configured.select(*keys).distinct(), keys, "left_anti")

@@ -129,6 +129,8 @@ class Experiment:
         return getattr(found, comparison.role)
 
 
+#: What names a series of result rows.
+KEY = ("metric", "method_config_id", "name_1", "name_2")
 NUMBERS = ("value_1", "value_2", "std_1", "std_2", "cov_value_1", "cov_value_2", "cov_std_1", "cov_std_2", "corr_coef_1", "corr_coef_2",
            "effect", "left_bound", "right_bound", "ci_length", "pvalue")
 
@@ -166,7 +168,9 @@ def results(experiment: Experiment, metrics: list[Metric], facts: DataFrame, coh
 
     All metrics and looks come from one scan of the facts and one aggregation by (unit,
     look); after it only looks x variants rows remain, and every test is a projection of
-    them.  Looks after the watermark, or in ``computed``, are left out.
+    them.  Looks after the watermark are left out, and so are the rows that ``computed``
+    has: it names them by any of ``end_ts``, ``metric``, ``method_config_id``, ``name_1`` and
+    ``name_2``, so a metric, method or pair added late gets its earlier looks.
     """
     spark, grid = facts.sparkSession, experiment.grid()
     looks = grid.frame(spark)
@@ -201,9 +205,10 @@ def results(experiment: Experiment, metrics: list[Metric], facts: DataFrame, coh
     gate = (corrections.srm_sequential(counts, experiment.shares(), experiment.srm_alpha) if experiment.sequential_srm
             else corrections.srm(counts, experiment.shares(), ["look"], experiment.srm_alpha)).select("look", "srm_flag", "srm_pvalue")
     due = looks if watermark is None else looks.filter(F.col("end_ts") <= F.lit(watermark).cast("timestamp_ntz"))
-    if computed is not None:
-        due = due.join(computed.select("end_ts").distinct(), "end_ts", "left_anti")
     out = rows.join(F.broadcast(due), "look").join(F.broadcast(gate), "look")
+    if computed is not None:
+        known = [c for c in ("end_ts", *KEY) if c in computed.columns]
+        out = out.join(computed.select(*known).distinct(), known, "left_anti")
     few = (F.col("size_1") < experiment.min_units) | (F.col("size_2") < experiment.min_units)
     void = lambda c: F.when(~few, F.col(c))
     return out.withColumns({

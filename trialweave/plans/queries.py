@@ -755,12 +755,12 @@ def stream_daily_totals(spark, d):
     return spark.table(name)
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS unit_id, min(CASE user_id % 3 WHEN 0 THEN 'control' WHEN 1 THEN 't1' ELSE 't2' END) AS variant FROM events GROUP BY 1")
+@query("SELECT CAST(user_id AS VARCHAR) AS unit_id, CASE user_id % 3 WHEN 0 THEN 'control' WHEN 1 THEN 't1' ELSE 't2' END AS variant, min(ts) AS exposure_ts, count(*) AS n_rows FROM events GROUP BY 1, 2")
 def stream_exposures(spark, d):
     from trialweave.streaming.cohort import exposures
 
     stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     name = f"exposures_{abs(hash(d))}"
-    run = exposures(stream, "user_id", demo.variant(), "ts", "40 days").writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    run = exposures(stream, "user_id", demo.variant(), "ts").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select("unit_id", "variant")
+    return spark.table(name)

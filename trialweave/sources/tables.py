@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialweave.functions.scratch import saved
 from trialweave.operators.state import last_write_wins
 
 # The columns of the kept tables, with * on nullable ones.
@@ -30,6 +31,7 @@ SCHEMAS = {
         tau2 double*, fpr_sequential double*, peeking_fpr_sequential double*, power_sequential double*, coverage_sequential double*,
         effect_exaggeration_sequential double*, ci_width double*, ci_width_sequential double*, verdict string, details string, status string, error_message string*,
         created_at timestamp""",
+    "unit_state_batches": """source_table string, column_set_id string, batch long, unit_id string, day date, sum_value double, sum_cov double, sum_denominator double""",
     "tasks": """experiment string, scope string, process_type string, status string, started_at timestamp, updated_at timestamp, locked_by string,
         error_message string*, timeout_seconds int""",
     "notify_states": """experiment string, metric string, name_1 string, name_2 string, method_config_id string, last_verdict string*, last_srm_flag boolean,
@@ -37,10 +39,11 @@ SCHEMAS = {
 }
 KEYS = {
     "experiments": ["experiment"], "exposures": ["experiment", "unit_id"], "unit_state": ["source_table", "column_set_id", "unit_id", "day"],
-    "results": ["experiment", "metric", "name_1", "name_2", "method_config_id", "end_ts"], "aa_runs": ["experiment", "run_id"],
-    "tasks": ["experiment", "scope", "process_type"], "notify_states": ["experiment", "metric", "name_1", "name_2", "method_config_id"]}
-VERSIONS = {"exposures": "loaded_at", "unit_state": "version", "results": "created_at", "aa_runs": "created_at", "notify_states": "updated_at"}
-PARTITIONS = {"unit_state": ["column_set_id", "day"], "results": ["experiment"], "exposures": ["experiment"]}
+    "results": ["experiment", "metric", "name_1", "name_2", "method_config_id", "end_ts"], "aa_runs": ["experiment", "run_id", "metric", "method_config_id"],
+    "tasks": ["experiment", "scope", "process_type", "locked_by"], "unit_state_batches": ["source_table", "column_set_id", "batch", "unit_id", "day"],
+    "notify_states": ["experiment", "metric", "name_1", "name_2", "method_config_id"]}
+VERSIONS = {"tasks": "updated_at", "exposures": "loaded_at", "unit_state": "version", "results": "created_at", "aa_runs": "created_at", "notify_states": "updated_at"}
+PARTITIONS = {"unit_state": ["column_set_id", "day"], "unit_state_batches": ["column_set_id", "batch"], "results": ["experiment"], "exposures": ["experiment"]}
 
 
 def schema(name: str) -> T.StructType:
@@ -118,36 +121,68 @@ class Store:
         self.create(table)
         df = _fit(df, self.raw(table).schema)
         kept = self.raw(table).join(df.select(*KEYS[table]).distinct(), KEYS[table], "left_anti").select(*df.columns)
-        self._rewrite(table, kept.unionByName(df))
+        self._rewrite(table, kept.unionByName(df), df)
 
     def delete(self, table: str, where: Column) -> None:
-        self._rewrite(table, self.raw(table).filter(~F.coalesce(where, F.lit(False))))
-
-    def _rewrite(self, table: str, df: DataFrame) -> None:
-        """Write beside the table, then put it in place: Spark cannot overwrite what it reads."""
-        other = f"{self.name(table)}_next"
-        self.spark.sql(f"DROP TABLE IF EXISTS {other}")
-        df.write.format("parquet").saveAsTable(other)
-        self.spark.table(other).write.insertInto(self.name(table), overwrite=True)
-        self.spark.sql(f"DROP TABLE {other}")
+        """Remove rows; of a partitioned table only the partitions that hold such are touched."""
+        hit = F.coalesce(where, F.lit(False))
+        self._rewrite(table, self.raw(table).filter(~hit), self.raw(table).filter(hit))
+
+    def _rewrite(self, table: str, df: DataFrame, changed: DataFrame) -> None:
+        """Put ``df`` in the table's place, or only those of its partitions that ``changed`` has rows in.
+
+        Spark cannot overwrite what it reads, so the new rows are written to the scratch folder first.
+        """
+        parts = PARTITIONS.get(table)
+        if not parts:
+            saved(df).write.insertInto(self.name(table), overwrite=True)
+            return
+        touched = [tuple(r) for r in changed.select(*parts).distinct().collect()]
+        if not touched:
+            return
+        wanted = self.spark.createDataFrame(touched, T.StructType([T.StructField(c, df.schema[c].dataType) for c in parts]))
+        new = saved(df.join(F.broadcast(wanted), parts, "left_semi").select(*df.columns))
+        self.replace_partitions(table, new)
+        for gone in set(touched) - {tuple(r) for r in new.select(*parts).distinct().collect()}:
+            spec = ", ".join(f"{c} = {_literal(v)}" for c, v in zip(parts, gone))
+            self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({spec})")
 
     def replace_day(self, df: DataFrame) -> None:
         """Idempotent day state: only the (series, day) partitions in ``df`` are overwritten."""
+        self.replace_partitions("unit_state", df)
+
+    def truncate_days(self, series: str, first: date) -> None:
+        """Drop a series' day state from ``first`` on, partition by partition; it is advanced again from there."""
         self.create("unit_state")
-        old = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        days = self.raw("unit_state").filter((F.col("column_set_id") == series) & (F.col("day") >= F.lit(first))).select("day").distinct().collect()
+        for r in days:
+            self.spark.sql(f"ALTER TABLE {self.name('unit_state')} DROP IF EXISTS PARTITION (column_set_id = {_literal(series)}, day = {_literal(r['day'])})")
+
+    def replace_partitions(self, table: str, df: DataFrame) -> None:
+        """Overwrite the partitions that ``df`` has rows in, and no other."""
+        self.create(table)
+        conf = df.sparkSession.conf
+        old = conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+        conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:
-            _fit(df, self.raw("unit_state").schema).write.insertInto(self.name("unit_state"), overwrite=True)
+            _fit(df, self.raw(table).schema).write.insertInto(self.name(table), overwrite=True)
         finally:
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+            conf.set("spark.sql.sources.partitionOverwriteMode", old)
 
     def newest(self, table: str, column: str, where: Column | None = None) -> datetime | None:
         df = self.raw(table)
         return (df.filter(where) if where is not None else df).agg(F.max(column)).first()[0]
 
     def save_results(self, df: DataFrame, version: datetime) -> None:
-        """Append result rows stamped by one version of the driver's clock."""
-        self.append("results", df.withColumn("created_at", F.lit(version)))
+        """Append result rows, each with a version of its own: microseconds from ``version`` on, past all stored ones.
+
+        Result rows are as many as looks, pairs and metrics, so one task numbers them.
+        """
+        self.create("results")
+        last = self.newest("results", "created_at")
+        first = F.unix_micros(F.lit(version if last is None or last < version else last).cast("timestamp"))
+        tick = F.row_number().over(Window.orderBy("end_ts", "metric", "method_config_id", "name_1", "name_2"))
+        self.append("results", df.withColumn("created_at", F.timestamp_micros(first + tick)))
 
     def results(self, experiment: str) -> DataFrame:
         return self.read("results").filter(F.col("experiment") == experiment).orderBy("metric", "name_1", "name_2", "method_config_id", "end_ts")
@@ -157,6 +192,10 @@ class Store:
             if "experiment" in SCHEMAS[table].split("string")[0] and self.exists(table):
                 self.delete(table, F.col("experiment") == experiment)
 
+    def aa_runs(self, experiment: str) -> DataFrame:
+        """An experiment's calibration rows, the newest of each run and cell."""
+        return self.read("aa_runs").filter(F.col("experiment") == experiment)
+
     def known_experiments(self) -> DataFrame:
         parts = [self.raw(t).select("experiment") for t in KEYS if "experiment" in KEYS[t] and self.exists(t)]
         out = parts[0]
@@ -165,6 +204,11 @@ class Store:
         return out.distinct()
 
 
+def _literal(value) -> str:
+    """A partition's value as SQL."""
+    return str(value) if isinstance(value, int) else "DATE '%s'" % value if isinstance(value, date) else "'%s'" % str(value).replace("\\", "\\\\").replace("'", "\\'")
+
+
 def _fit(df: DataFrame, target: T.StructType) -> DataFrame:
     """The target's columns in its order; missing ones are null."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from datetime import datetime, timedelta
 
@@ -13,40 +14,54 @@ from trialweave.sources.tables import Store
 _ROW = "experiment string, scope string, process_type string, status string, started_at timestamp, updated_at timestamp, locked_by string, error_message string, timeout_seconds int"
 
 
-def _mine(store: Store, experiment: str, scope: str, process: str) -> DataFrame:
+def _claims(store: Store, experiment: str, scope: str, process: str) -> list:
+    """The last state of every claim.  Claims and their ends are appended, never rewritten, so none is lost."""
     store.create("tasks")
-    return store.raw("tasks").filter((F.col("experiment") == experiment) & (F.col("scope") == scope) & (F.col("process_type") == process))
+    return store.read("tasks").filter((F.col("experiment") == experiment) & (F.col("scope") == scope) & (F.col("process_type") == process)).collect()
+
+
+def _holder(claims: list, now: datetime):
+    """The earliest claim that is running and not stale."""
+    live = [r for r in claims if r["status"] == "running" and r["started_at"] + timedelta(seconds=r["timeout_seconds"]) > now]
+    return min(live, key=lambda r: (r["started_at"], r["locked_by"]), default=None)
 
 
 def active(store: Store, experiment: str, scope: str = "all", process: str = "run", now: datetime | None = None):
     """The lock's row if it is running and not stale."""
-    rows = _mine(store, experiment, scope, process).filter("status = 'running'").collect()
-    now = now or datetime.now()
-    return next((r for r in rows if r["started_at"] + timedelta(seconds=r["timeout_seconds"]) > now), None)
+    return _holder(_claims(store, experiment, scope, process), now or datetime.now())
+
+
+def _put(store: Store, experiment: str, scope: str, process: str, status: str, started: datetime, updated: datetime, token: str, error: str | None, timeout: int) -> None:
+    store.append("tasks", store.spark.createDataFrame([(experiment, scope, process, status, started, updated, token, error, timeout)], _ROW))
 
 
-def acquire(store: Store, experiment: str, scope: str = "all", process: str = "run", timeout: int = 3600, now: datetime | None = None) -> str | None:
+def acquire(store: Store, experiment: str, scope: str = "all", process: str = "run", timeout: int = 3600, now: datetime | None = None, settle: float = 0.0) -> str | None:
     """A token, or None while another run holds the lock.  Advisory: a file table has no compare-and-set.
 
-    The claim is written and read back; if two claims met, the earlier (time, token) wins.
+    The claim is appended; after ``settle`` seconds, in which claims made at the same time
+    come to be seen, all are read back, and the earliest (time, token) wins.  A claim that
+    lost is ended.
     """
     now = now or datetime.now()
     if active(store, experiment, scope, process, now):
         return None
     token = uuid.uuid4().hex
-    store.upsert("tasks", store.spark.createDataFrame([(experiment, scope, process, "running", now, now, token, None, timeout)], _ROW))
-    won = _mine(store, experiment, scope, process).agg(F.min_by("locked_by", F.struct("started_at", "locked_by")).alias("t")).first()["t"]
-    return token if won == token else None
+    _put(store, experiment, scope, process, "running", now, now, token, None, timeout)
+    time.sleep(settle)
+    won = active(store, experiment, scope, process, now)
+    if won is not None and won["locked_by"] == token:
+        return token
+    _put(store, experiment, scope, process, "lost", now, now + timedelta(microseconds=1), token, None, timeout)
+    return None
 
 
 def release(store: Store, token: str, experiment: str, scope: str = "all", process: str = "run", status: str = "done", error: str | None = None, force: bool = False) -> bool:
     """End a run; only its owner may, unless forced."""
-    rows = _mine(store, experiment, scope, process).collect()
-    if not rows or (rows[0]["locked_by"] != token and not force):
-        return False
-    r = rows[0]
-    store.upsert("tasks", store.spark.createDataFrame([(experiment, scope, process, status, r["started_at"], datetime.now(), r["locked_by"], error, r["timeout_seconds"])], _ROW))
-    return True
+    held = [r for r in _claims(store, experiment, scope, process) if r["status"] == "running"]
+    own = [r for r in held if r["locked_by"] == token] or (held if force else [])
+    for r in own:
+        _put(store, experiment, scope, process, status, r["started_at"], max(datetime.now(), r["updated_at"] + timedelta(microseconds=1)), r["locked_by"], error, r["timeout_seconds"])
+    return bool(own)
 
 
 def scanned_rows(df: DataFrame) -> int:

@@ -9,14 +9,15 @@ from pyspark.sql.streaming import DataStreamWriter
 from trialweave.operators.state import day_state
 
 
-def exposures(stream: DataFrame, unit: str, variant: Column, ts: str, lag: str) -> DataFrame:
-    """First exposures as they come: one row per unit within the watermark's reach.
+def exposures(stream: DataFrame, unit: str, variant: Column, ts: str) -> DataFrame:
+    """First exposures: per unit and variant the smallest time so far, and the rows seen.
 
-    Rows later than ``lag`` are dropped by the watermark, as a batch copy drops what comes
-    after its closed interval.
+    A row that comes late lowers the time, so the result does not depend on the order of
+    arrival.  Its state is a row per unit, as the cohort itself; write it in update or
+    complete mode, and read the newest row of a unit.
     """
-    rows = stream.select(F.col(unit).cast("string").alias("unit_id"), variant.alias("variant"), F.col(ts).cast("timestamp").alias("exposure_ts"))
-    return rows.withWatermark("exposure_ts", lag).dropDuplicatesWithinWatermark(["unit_id", "variant"])
+    rows = stream.select(F.col(unit).cast("string").alias("unit_id"), variant.alias("variant"), F.col(ts).alias("exposure_ts"))
+    return rows.groupBy("unit_id", "variant").agg(F.min("exposure_ts").alias("exposure_ts"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def daily_totals(stream: DataFrame, variant: Column, ts: str, value: Column, lag: str) -> DataFrame:
@@ -30,15 +31,26 @@ def daily_totals(stream: DataFrame, variant: Column, ts: str, value: Column, lag
 def keep_day_state(stream: DataFrame, store, series: tuple[str, str], zone: str, ts: str, value: Column, version: Column | None = None) -> DataStreamWriter:
     """Advance the day state by micro-batches.
 
-    Days arrive whole: a batch holds all facts of the days in it (a source that closes days,
-    or a trigger a day), and replaces those days, so a batch that runs again counts once.
+    A batch's sums per (unit, day) are kept under its number, so a batch that runs again
+    replaces itself.  The days it touches are then put together from all batches' sums:
+    a day may come in any number of batches, late ones included.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        rows = day_state(batch, zone, ts, value).drop("variant").withColumns({
-            "source_table": F.lit(series[0]), "column_set_id": F.lit(series[1]), "version": version if version is not None else F.timestamp_seconds(F.lit(batch_id + 1))})
-        store.replace_day(rows)
+        here = type(store)(batch.sparkSession, store.database, store.prefix)  # a stream runs in a session of its own
+        own = {"source_table": F.lit(series[0]), "column_set_id": F.lit(series[1])}
+        parts = day_state(batch, zone, ts, value).select("unit_id", "day", "sum_value", "sum_cov", "sum_denominator").withColumns(own | {"batch": F.lit(batch_id)})
+        here.replace_partitions("unit_state_batches", parts)
+        touched = parts.select("day").distinct()
+        kept = here.raw("unit_state_batches").filter((F.col("column_set_id") == series[1]) & (F.col("source_table") == series[0])).join(F.broadcast(touched), "day", "left_semi")
+        v, x, d = (F.sum(c) for c in ("sum_value", "sum_cov", "sum_denominator"))
+        rows = kept.groupBy("unit_id", "day").agg(
+            F.lit(1).cast("long").alias("n"), v.alias("sum_value"), (v * v).alias("sum_value_sq"), x.alias("sum_cov"), (x * x).alias("sum_cov_sq"), (v * x).alias("sum_value_cov"),
+            d.alias("sum_denominator"), (d * d).alias("sum_denominator_sq"), (v * d).alias("sum_value_denominator"))
+        here.replace_day(rows.withColumns(own | {"version": version if version is not None else F.timestamp_seconds(F.lit(batch_id + 1))}))
+        for table in ("unit_state", "unit_state_batches"):
+            store.spark.catalog.refreshTable(store.name(table))
 
     return stream.writeStream.foreachBatch(advance)

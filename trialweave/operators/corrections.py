@@ -172,5 +172,5 @@ def always_valid(df: DataFrame, levels: list[float]) -> DataFrame:
 
 
 def require_symmetric(interval: str, sequential: bool) -> None:
-    if sequential and interval in ("score", "fieller"):
+    if sequential and interval in ("score", "fieller", "percentile"):
         raise ValueError(f"an always-valid interval cannot be built on the asymmetric {interval} interval")

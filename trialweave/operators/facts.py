@@ -86,13 +86,23 @@ def unit_looks_any(facts: DataFrame, grid: Grid, ts: str, roles: Mapping[str, Co
 
 def covariate(facts: DataFrame, cohort: DataFrame, unit: str, ts: str, grid: Grid, days: int, value: Column) -> DataFrame:
     """Each cohort unit's value over the ``days`` local days before the start; exposure does not clip it."""
+    return covariates(facts, cohort, unit, ts, grid, days, {"covariate": value})
+
+
+def covariates(facts: DataFrame, cohort: DataFrame, unit: str, ts: str, grid: Grid, days: int, values: Mapping[str, Column]) -> DataFrame:
+    """:func:`covariate` for several values, from one scan."""
     from trialweave.operators.grid import local_day, local_instant
 
     end = local_instant(local_day(grid.start, grid.zone), grid.zone)
     start = local_instant(local_day(grid.start, grid.zone) - timedelta(days=days), grid.zone)
-    return exposed(facts, cohort, unit, ts, start, end, after_exposure=False).groupBy("unit_id").agg(value.alias("covariate"))
+    return exposed(facts, cohort, unit, ts, start, end, after_exposure=False).groupBy("unit_id").agg(*[v.alias(k) for k, v in values.items()])
 
 
 def with_covariate(units: DataFrame, cov: DataFrame) -> DataFrame:
     """Units with their covariate, 0 where there is none."""
-    return units.join(cov, "unit_id", "left").withColumn("covariate", F.coalesce("covariate", F.lit(0.0)))
+    return with_covariates(units, cov)
+
+
+def with_covariates(units: DataFrame, cov: DataFrame) -> DataFrame:
+    """:func:`with_covariate` for all columns of ``cov``."""
+    return units.join(cov, "unit_id", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in cov.columns if c != "unit_id"})

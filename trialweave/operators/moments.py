@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.columns import div, finite, floor0
 
+#: The share of a sum of squares below which its centred part is rounding.
+ROUNDING = 1e-13
+
 
 def moments(*roles: str) -> list[Column]:
     """Aggregates ``n``, ``mean_<role>``, ``m2_<role>`` and ``c_<a>_<b>`` (centred sums).
@@ -68,10 +71,15 @@ def moments_by_look(running: DataFrame, n_looks: int, *roles: str, fixed: tuple[
     n = F.col("n")
     good = {r: F.col(f"b_{r}") == 0 for r in every}
     out = [F.when(good[r], F.col(f"s_{r}") / n + F.col(f"shift_{r}")).alias(f"mean_{r}") for r in every]
+
+    def centred(a: str, b: str) -> Column:
+        return F.col(f"p_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / n
+
+    # What rounding leaves of equal values is no spread.
+    spread = {a: centred(a, a) > F.col(f"p_{a}_{a}") * ROUNDING for a, b in pairs if a == b}
     for a, b in pairs:
-        centred = F.col(f"p_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / n
         name = f"m2_{a}" if a == b else f"c_{a}_{b}"
-        out.append(F.when(good[a] & good[b], floor0(centred) if a == b else centred).alias(name))
+        out.append(F.when(good[a] & good[b], F.when(spread[a] & spread[b], centred(a, b)).otherwise(0.0)).alias(name))
     return total.select("variant", "look", "n", *out)
 
 

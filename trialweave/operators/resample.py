@@ -20,7 +20,7 @@ from trialweave.functions.columns import div, finite
 from trialweave.functions.identity import derive_seed
 from trialweave.functions.ship import ship
 
-MOST_UNITS = 2_000_000
+MOST_UNITS = 200_000
 #: Replicates drawn together; it fixes the stream, so results do not depend on memory.
 QUANTUM = 128
 

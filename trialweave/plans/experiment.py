@@ -10,13 +10,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.functions import identity, power
-from trialweave.functions.columns import finite
+from trialweave.functions.columns import div, finite
 from trialweave.functions.score import with_score_interval
-from trialweave.operators import closed_form, cohort as cohorts, corrections, facts as fact_ops
+from trialweave.operators import closed_form, cohort as cohorts, corrections, facts as fact_ops, resample
 from trialweave.operators.grid import Grid, make_grid, seconds
 from trialweave.operators.moments import contrasts, moments_by_look, pair_up
 
 DEFAULTS = {"test_type": "relative", "interval": "delta"}
+#: Defaults of methods that read units.
+UNIT_DEFAULTS = {"test_type": "relative", "n_samples": 1000, "statistic": "mean", "stratify": False, "weight_method": "min", "pvalue_kind": "sign"}
+
+
+@dataclass(frozen=True)
+class Param:
+    """What a parameter may be: a type, choices, or bounds (inclusive)."""
+
+    kind: type
+    choices: tuple = ()
+    least: float | None = None
+    most: float | None = None
+
+    def validate(self, name: str, value: object, method: str) -> object:
+        if self.kind is float and type(value) is int:
+            value = float(value)
+        if type(value) is not self.kind:
+            raise ValueError(f"{method}: {name} is a {self.kind.__name__}, not {value!r}")
+        if self.choices and value not in self.choices:
+            raise ValueError(f"{method}: {name} is one of {list(self.choices)}, not {value!r}")
+        if self.least is not None and value < self.least or self.most is not None and value > self.most:
+            raise ValueError(f"{method}: {name} lies between {self.least} and {self.most}, not {value!r}")
+        return value
+
+
+PARAMS = {
+    "test_type": Param(str, closed_form.KINDS), "interval": Param(str, ("delta", "fieller", "pooled", "score")), "covariate_days": Param(int, least=1, most=365),
+    "n_samples": Param(int, least=2, most=100_000), "statistic": Param(str, tuple(resample.STATISTICS)), "stratify": Param(bool), "weight_method": Param(str, ("min", "mean")),
+    "pvalue_kind": Param(str, ("sign", "plugin"))}
 
 
 @dataclass(frozen=True)
@@ -37,6 +66,13 @@ METHODS: dict[str, tuple[str, object]] = {
     "t-test": ("sample", closed_form.t_test), "cuped-t-test": ("sample", closed_form.cuped),
     "z-test": ("fraction", closed_form.z_test), "ratio-delta": ("ratio", closed_form.ratio_delta)}
 ALIASES: dict[str, str] = {"ttest": "t-test", "ztest": "z-test", "cuped": "cuped-t-test"}
+#: Methods that read units at every look: whether they want pairs, and a covariate.
+UNIT_METHODS: dict[str, tuple[bool, bool]] = {
+    "paired-t-test": (True, False), "paired-cuped-t-test": (True, True), "bootstrap": (False, False), "poisson-bootstrap": (False, False), "paired-bootstrap": (True, False),
+    "paired-poisson-bootstrap": (True, False), "post-normed-bootstrap": (False, True), "paired-post-normed-bootstrap": (True, False)}
+METHODS |= {name: ("sample", None) for name in UNIT_METHODS}
+#: Test types that a method is confined to.
+ONLY = {"post-normed-bootstrap": "relative", "paired-post-normed-bootstrap": "absolute"}
 
 
 def register_method(name: str, kind: str, build, aliases: tuple[str, ...] = ()) -> None:
@@ -67,16 +103,30 @@ class Comparison:
     desired: int = 1
 
     def resolved(self) -> dict:
-        out = DEFAULTS | self.params
-        unknown = set(out) - {"test_type", "interval", "covariate_days"}
-        if unknown or out["test_type"] not in closed_form.KINDS or out["interval"] not in ("delta", "fieller", "pooled", "score"):
-            raise ValueError(f"bad parameters {self.params}")
-        if self.params.get("interval") and out["test_type"] == "absolute" and out["interval"] == "fieller":
+        name = method(self.method)[0]
+        defaults = self.defaults()
+        if unknown := set(self.params) - set(defaults) - {"covariate_days"}:
+            raise ValueError(f"{name} has no parameters {sorted(unknown)}")
+        out = defaults | {k: PARAMS[k].validate(k, v, name) for k, v in self.params.items()}
+        if out.get("interval") == "fieller" and out["test_type"] == "absolute":
             raise ValueError("fieller is for relative effects")
+        if out["test_type"] != ONLY.get(name, out["test_type"]):
+            raise ValueError(f"{name} is {ONLY[name]} only")
         return out
 
+    def defaults(self) -> dict:
+        name = method(self.method)[0]
+        if name.startswith("paired") and name.endswith("t-test"):
+            return DEFAULTS
+        return UNIT_DEFAULTS | ({"test_type": ONLY[name]} if name in ONLY else {}) if name in UNIT_METHODS else DEFAULTS
+
+    def adjusted(self) -> bool:
+        """Whether the method wants the metric's pre-period value."""
+        name = method(self.method)[0]
+        return name == "cuped-t-test" or UNIT_METHODS.get(name, (False, False))[1]
+
     def config_id(self) -> str:
-        return identity.method_config_id(method(self.method)[0], self.resolved(), DEFAULTS)
+        return identity.method_config_id(method(self.method)[0], self.resolved(), self.defaults())
 
 
 @dataclass(frozen=True)
@@ -108,7 +158,7 @@ class Experiment:
         if len(self.variants) < 2 or len(set(self.variants)) != len(self.variants):
             raise ValueError("an experiment has two different variants at least")
         for c in self.comparisons:
-            corrections.require_symmetric(c.resolved()["interval"], self.sequential)
+            corrections.require_symmetric(c.resolved().get("interval", "percentile" if method(c.method)[0] in UNIT_METHODS else "delta"), self.sequential)
 
     @property
     def base(self) -> str:
@@ -135,18 +185,62 @@ NUMBERS = ("value_1", "value_2", "std_1", "std_2", "cov_value_1", "cov_value_2",
            "effect", "left_bound", "right_bound", "ci_length", "pvalue")
 
 
-def _tested(experiment: Experiment, metric: Metric, c: Comparison, paired: DataFrame, out: str) -> DataFrame:
-    """Add one comparison's result as the struct ``out``, from the metric's prefixed moments."""
+def _from_units(experiment: Experiment, metric: Metric, c: Comparison, panel: DataFrame) -> DataFrame:
+    """(look, name_1, name_2, effect, ...) of a method that reads units (``panel``), for every look and pair."""
+    name, _, _ = method(c.method)
+    params, alpha, out = c.resolved(), experiment.level(c), None
+    paired, adjusted = UNIT_METHODS[name]
+    # A paired method knows a unit by its pair.
+    units = panel.select(
+        "look", "variant", (F.col("pair_id") if paired else F.col("unit_id")).cast("string").alias("unit_id"), F.col(f"{metric.name}__value").alias("value"),
+        *([F.col(f"{metric.name}__covariate").alias("covariate")] if adjusted else []), *(["stratum"] if params.get("stratify") else []))
+    for pair in experiment.pairs():
+        a, b = (units.filter(F.col("variant") == v) for v in pair)
+        if paired:
+            both = a.select("look", "unit_id").intersect(b.select("look", "unit_id"))
+        if name in ("paired-t-test", "paired-cuped-t-test"):
+            one, two = (x.select("look", "unit_id", *[F.col(r).alias(f"{r}{k}") for r in ("value", *["covariate"] * adjusted)]) for k, x in ((1, a), (2, b)))
+            test = closed_form.paired_cuped if adjusted else closed_form.paired_t
+            found = test(one.join(two, ["look", "unit_id"]), ["look"], params["test_type"], params["interval"], alpha).withColumn("pairs", F.col("n"))
+        else:
+            own = units.filter(F.col("variant").isin(*pair))
+            own = own.join(both, ["look", "unit_id"], "left_semi") if paired else own
+            sizes = both.groupBy("look").agg(F.count(F.lit(1)).alias("pairs")) if paired else None
+            if name.endswith("poisson-bootstrap"):
+                reps = resample.poisson_replicates(own, ["look"], params["n_samples"], identity.derive_seed(experiment.name, metric.name, *pair), strata="stratum" if params["stratify"] else None)
+                found = resample.bootstrap_test(resample.replicate_effects(reps, ["look"], pair, params["test_type"]), ["look"], alpha, params["pvalue_kind"])
+                means = own.groupBy("look").agg(*[F.avg(F.when(F.col("variant") == v, F.col("value"))).alias(f"__m{k}") for k, v in enumerate(pair)])
+                effect = F.col("__m1") - F.col("__m0")
+                found = found.join(means, "look").withColumn("effect", finite(div(effect, F.col("__m0")) if params["test_type"] == "relative" else effect))
+            else:
+                found = resample.resampled(
+                    own, ["look"], pair, name, params["n_samples"], (experiment.name, metric.name, *pair), alpha, params["pvalue_kind"], statistic=params["statistic"],
+                    test_type=params["test_type"], stratified=params["stratify"], weight_method=params["weight_method"])
+            found = found.withColumn("ci_length", F.col("right_bound") - F.col("left_bound"))
+            found = found.join(sizes, "look", "left") if paired else found.withColumn("pairs", F.lit(None).cast("long"))
+        found = found.select("look", F.lit(pair[0]).alias("name_1"), F.lit(pair[1]).alias("name_2"), "effect", "left_bound", "right_bound", "ci_length", "pvalue", "reject", F.col("pairs").cast("long").alias("pairs"))
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _tested(experiment: Experiment, metric: Metric, c: Comparison, paired: DataFrame, out: str, panel: DataFrame | None = None) -> DataFrame:
+    """Add one comparison's result as the struct ``out``, from the metric's prefixed moments or from units."""
     name, kind, build = method(c.method)
     if metric.kind != kind:
         raise ValueError(f"{name} wants a {kind} metric")
     params, alpha, kept = c.resolved(), experiment.level(c), paired.columns
-    roles = [*metric.roles, *(["covariate"] if kind == "sample" and "mean_covariate_1" in kept else [])]
-    own = {r: r if r == "covariate" else f"{metric.name}__{r}" for r in roles}
+    roles = [*metric.roles, *(["covariate"] if f"mean_{metric.name}__covariate_1" in kept else [])]
+    own = {r: f"{metric.name}__{r}" for r in roles}
     names = {f"{m}_{r}_{k}": f"{m}_{own[r]}_{k}" for m in ("mean", "m2") for r in roles for k in (1, 2)}
     names |= {f"c_{a}_{b}_{k}": f"c_{own[a]}_{own[b]}_{k}" for a in roles for b in roles for k in (1, 2)}
     df = paired.withColumns({new: F.col(old) for new, old in names.items() if old in kept and new != old})
-    if kind == "fraction":
+    if name in UNIT_METHODS:
+        found = _from_units(experiment, metric, c, panel)
+        at = {k: f"__u_{k}" for k in ("look", "name_1", "name_2")}
+        df = df.join(F.broadcast(found.withColumnsRenamed(at)), [F.col(k) == F.col(v) for k, v in at.items()], "left").drop(*at.values())
+        df = df.withColumns({x: F.col(y) for k in (1, 2) for x, y in ((f"value_{k}", f"mean_value_{k}"),)} | {f"std_{k}": F.sqrt(F.col(f"m2_value_{k}") / F.col(f"n_{k}")) for k in (1, 2)})
+        df = df.withColumn("reject", F.coalesce("reject", F.lit(False)))
+    elif kind == "fraction":
         df = df.withColumns({f"{r}_{k}": F.col(f"mean_{r}_{k}") * F.col(f"n_{k}") for r in ("count", "nobs") for k in (1, 2)})
         df = build(df, params["test_type"], alpha)
         if params["interval"] == "score":
@@ -159,7 +253,7 @@ def _tested(experiment: Experiment, metric: Metric, c: Comparison, paired: DataF
         F.lit(name).alias("method_name"), F.lit(identity.canonical_json(params)).alias("method_params"), F.lit(c.config_id()).alias("method_config_id"),
         *[(finite(F.col(k)) if k in df.columns else F.lit(None).cast("double")).alias(k) for k in NUMBERS], F.col("reject").alias("reject"),
         F.lit(alpha).alias("alpha"), F.lit("fixed").alias("ci_kind"), F.to_json(notes).alias("warnings"),
-        F.lit(c.min_effect).cast("double").alias("min_effect"), F.lit(c.desired).alias("desired"))
+        F.lit(c.min_effect).cast("double").alias("min_effect"), F.lit(c.desired).alias("desired"), (F.col("pairs") if "pairs" in df.columns else F.lit(None).cast("long")).alias("pairs"))
     return df.withColumn(out, result).select(*kept, out)
 
 
@@ -181,23 +275,25 @@ def results(experiment: Experiment, metrics: list[Metric], facts: DataFrame, coh
     groups = [tuple(f"{m.name}__{r}" for r in m.roles) for m in used]
     joined = fact_ops.exposed(facts, cohort, experiment.unit, experiment.ts, grid.start, grid.horizon)
     running = fact_ops.running_units(joined, grid, experiment.ts, roles)
-    fixed: tuple[str, ...] = ()
-    adjusted = {c.metric for c in experiment.comparisons if method(c.method)[0] == "cuped-t-test"}
-    for i, m in enumerate(used):
-        if m.name in adjusted:
-            if fixed:
-                raise ValueError("one covariate metric in an experiment plan; plan the others on their own")
-            value = fact_ops.as_column(m.roles["value"][1])
-            cov = fact_ops.covariate(facts, cohort, experiment.unit, experiment.ts, grid, experiment.covariate_days, F.sum(value))
-            running, fixed = fact_ops.with_covariate(running, cov), ("covariate",)
-            groups[i] = (*groups[i], "covariate")
+    adjusted = {c.metric for c in experiment.comparisons if c.adjusted()}
+    own = {f"{m.name}__covariate": F.sum(fact_ops.as_column(m.roles["value"][1])) for m in used if m.name in adjusted}
+    groups = [(*g, f"{m.name}__covariate") if m.name in adjusted else g for g, m in zip(groups, used)]
+    fixed = tuple(own)
+    if own:
+        running = fact_ops.with_covariates(running, fact_ops.covariates(facts, cohort, experiment.unit, experiment.ts, grid, experiment.covariate_days, own))
+    panel = None
+    if any(method(c.method)[0] in UNIT_METHODS for c in experiment.comparisons):
+        more = [x for x in ("pair_id", "stratum") if x in cohort.columns]
+        panel = fact_ops.unit_panel(running, grid, [*roles, *fixed])
+        panel = panel.join(cohort.select("unit_id", *more), "unit_id") if more else panel
     paired = pair_up(moments_by_look(running, len(grid.ends), *roles, fixed=fixed, groups=groups), experiment.pairs(), ["look"])
     by_name = {m.name: m for m in used}
     for i, c in enumerate(experiment.comparisons):
-        paired = _tested(experiment, by_name[c.metric], c, paired, f"__r{i}")
+        paired = _tested(experiment, by_name[c.metric], c, paired, f"__r{i}", panel)
     tested = F.explode(F.array(*[f"__r{i}" for i in range(len(experiment.comparisons))])).alias("r")
     rows = paired.select("look", "name_1", "name_2", F.col("n_1").cast("long").alias("size_1"), F.col("n_2").cast("long").alias("size_2"), tested)
-    rows = _with_mde(experiment, rows.select("look", "name_1", "name_2", "size_1", "size_2", "r.*"))
+    rows = rows.select("look", "name_1", "name_2", *[F.coalesce("r.pairs", s).alias(s) for s in ("size_1", "size_2")], "r.*").drop("pairs")
+    rows = _with_mde(experiment, rows)
     if experiment.sequential:
         levels = sorted({experiment.level(c) for c in experiment.comparisons})
         rows = corrections.always_valid(corrections.with_tau2(rows, ["metric", "method_config_id", "name_1", "name_2"], levels), levels)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -387,6 +387,88 @@ def always_valid_series(spark, d):
     return out.select("metric", "name_1", "name_2", "look", "effect", "left_bound", "right_bound", "pvalue", "reject", "ci_kind")
 
 
+def one_method(spark, d, method: str, looks: int = 23, **params) -> DataFrame:
+    """The demo's revenue by one method, through the experiment's plan; users 3k, 3k + 1 and 3k + 2 are matched."""
+    cohort = demo.cohort(spark, d).withColumn("pair_id", F.floor(F.col("unit_id").cast("long") / 3))
+    e = demo.experiment(comparisons=(demo.Comparison("revenue", method, "main", params),), correction="none", horizon=demo.START + timedelta(days=looks))
+    return run_results(e, demo.metrics(), demo.events(spark, d), cohort).select("look", "name_1", "name_2", "size_1", "size_2", "effect", "left_bound", "right_bound", "pvalue", "reject")
+
+
+_MATCHED = f"""WITH {BASE},
+mt AS (SELECT a.look, a.variant AS name_1, b.variant AS name_2, a.unit_id::BIGINT // 3 AS pair_id, a.value AS y1, b.value AS y2, a.covariate AS x1, b.covariate AS x2
+       FROM units a JOIN units b ON a.look = b.look AND a.unit_id::BIGINT // 3 = b.unit_id::BIGINT // 3 AND a.variant < b.variant),
+g AS (SELECT look, name_1, name_2, count(*)::DOUBLE AS n, avg(y1) AS m1, avg(y2 - y1) AS md, var_pop(y2 - y1) AS vd, var_pop(y1) AS vy1, CASE WHEN count(*) > 1 THEN covar_pop(y2 - y1, y1) * count(*) / (count(*) - 1) END AS cd1,
+      avg(x2 - x1) AS mx, var_pop(x2 - x1) AS vx, covar_pop(y2 - y1, x2 - x1) AS cyx, CASE WHEN count(*) > 1 THEN covar_pop(y2 - y1, x2 - x1) * count(*) / (count(*) - 1) END AS cs,
+      CASE WHEN count(*) > 1 THEN covar_pop(x2 - x1, y1) * count(*) / (count(*) - 1) END AS cx1 FROM mt GROUP BY ALL),
+h AS (SELECT *, cs / nullif(vx, 0) AS th FROM g),
+k AS (SELECT *, md - th * mx AS ad, vd - 2 * th * cyx + th * th * vx AS av, cd1 - th * cx1 AS ac FROM h)"""
+#: Rows of the plan: every pair of arms that has units, void below two pairs.
+_MATCHED_OUT = """SELECT p.look, p.name_1, p.name_2, coalesce(g.n, p.n1)::BIGINT AS size_1, coalesce(g.n, p.n2)::BIGINT AS size_2, """ + ", ".join(
+    f"CASE WHEN coalesce(g.n, p.n1) >= 2 AND coalesce(g.n, p.n2) >= 2 THEN {c} END AS {c.split('.')[1].split(',')[0].split(')')[0]}" for c in ("round(t.effect, 6) + 0.0", "round(t.left_bound, 6) + 0.0", "round(t.right_bound, 6) + 0.0", "round(t.pvalue, 6) + 0.0")) + """,
+CASE WHEN coalesce(g.n, p.n1) >= 2 AND coalesce(g.n, p.n2) >= 2 THEN coalesce(t.reject, FALSE) END AS reject FROM p LEFT JOIN t USING (look, name_1, name_2) LEFT JOIN g USING (look, name_1, name_2)"""
+
+
+@query(f"{_MATCHED}, {oracles._normal(oracles.relative('md', 'vd / n', 'm1', 'vy1 / n', '-cd1 / n', 'g'))} {_MATCHED_OUT}", 6)
+def method_paired_ttest(spark, d):
+    return one_method(spark, d, "paired-t-test")
+
+
+@query(f"{_MATCHED}, {oracles._normal(f'SELECT {oracles.KEYS}, ad AS effect, av / n AS var FROM k')} {_MATCHED_OUT}", 6)
+def method_paired_cuped(spark, d):
+    return one_method(spark, d, "paired-cuped-t-test", test_type="absolute")
+
+
+_POISSON = "CASE " + " ".join(f"WHEN u < {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r} THEN {k}" for k in range(12)) + " ELSE 12 END"
+
+
+def _poisson_sql(key: str, paired: bool, relative: bool) -> str:
+    """The Poisson bootstrap through the plan: 40 replicates at the first two looks."""
+    seeds = {p: identity.derive_seed("demo", "revenue", *p) for p in PAIRS}
+    pick = " UNION ALL ".join(f"SELECT '{a}' AS name_1, '{b}' AS name_2, '{s}' AS seed" for (a, b), s in seeds.items())
+    effect = "(b.value - a.value) / nullif(a.value, 0)" if relative else "b.value - a.value"
+    return f"""{_MATCHED}, pk AS ({pick}),
+us AS (SELECT pk.*, u.look, u.variant, {key} AS key, u.value FROM pk JOIN units u ON u.variant IN (pk.name_1, pk.name_2) WHERE u.look < 2 {'AND EXISTS (SELECT 1 FROM mt WHERE mt.look = u.look AND mt.name_1 = pk.name_1 AND mt.name_2 = pk.name_2 AND mt.pair_id = u.unit_id::BIGINT // 3)' if paired else ''}),
+b AS (SELECT *, i AS replicate, ('0x' || substr(md5(key || '|' || i || '|' || seed), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM us, range(40) t(i)),
+w AS (SELECT look, name_1, name_2, variant, replicate, sum(({_POISSON}) * value) / nullif(sum({_POISSON}), 0) AS value FROM b GROUP BY ALL),
+f AS (SELECT a.look, a.name_1, a.name_2, {effect} AS boot FROM w a JOIN w b USING (look, name_1, name_2, replicate) WHERE a.variant = a.name_1 AND b.variant = a.name_2),
+q AS (SELECT look, name_1, name_2, count(boot) = count(*) AS ok, quantile_cont(boot, 0.025) AS lo, quantile_cont(boot, 0.975) AS hi, least(2.0 * least(count_if(boot > 0), count_if(boot < 0)) / count(*), 1) AS pv FROM f GROUP BY ALL),
+mn AS (SELECT look, name_1, name_2, avg(CASE WHEN variant = name_1 THEN value END) AS m1, avg(CASE WHEN variant = name_2 THEN value END) AS m2, count(*) FILTER (variant = name_1) AS n FROM us GROUP BY ALL),
+z AS (SELECT p.look, p.name_1, p.name_2, {'coalesce(mn.n, p.n1)' if paired else 'p.n1'}::BIGINT AS size_1, {'coalesce(mn.n, p.n2)' if paired else 'p.n2'}::BIGINT AS size_2, {'(mn.m2 - mn.m1) / nullif(mn.m1, 0)' if relative else 'mn.m2 - mn.m1'} AS e, q.* EXCLUDE (look, name_1, name_2)
+      FROM p LEFT JOIN q USING (look, name_1, name_2) LEFT JOIN mn USING (look, name_1, name_2) WHERE p.look < 2)
+SELECT look, name_1, name_2, size_1, size_2, CASE WHEN s THEN round(CASE WHEN ok IS NOT NULL THEN e END, 6) + 0.0 END AS effect, CASE WHEN s AND ok THEN round(lo, 6) + 0.0 END AS left_bound, CASE WHEN s AND ok THEN round(hi, 6) + 0.0 END AS right_bound,
+CASE WHEN s AND ok THEN round(pv, 6) + 0.0 END AS pvalue, CASE WHEN s THEN coalesce(ok AND pv < 0.05, FALSE) END AS reject FROM (SELECT *, size_1 >= 2 AND size_2 >= 2 AS s FROM z)"""
+
+
+
+
+@query(_poisson_sql("u.unit_id", False, True))
+def method_poisson_bootstrap(spark, d):
+    return one_method(spark, d, "poisson-bootstrap", 2, n_samples=40)
+
+
+@query(_poisson_sql("(u.unit_id::BIGINT // 3)::VARCHAR", True, False))
+def method_paired_poisson_bootstrap(spark, d):
+    return one_method(spark, d, "paired-poisson-bootstrap", 2, n_samples=40, test_type="absolute")
+
+
+for _method, _type in (("bootstrap", "relative"), ("paired-bootstrap", "relative"), ("post-normed-bootstrap", "relative"), ("paired-post-normed-bootstrap", "absolute")):
+    def _f(spark, d, method=_method, kind=_type):
+        return one_method(spark, d, method, 2, n_samples=200, test_type=kind)
+
+    _f.__name__ = f"method_{_method.replace('-', '_')}"
+    query()(_f)
+
+
+@query(f"WITH {BASE}, {oracles._normal(oracles.CUPED_ABS)}, cb AS (SELECT look, name_1, name_2, n1, n2, k1 / n1 AS c1_, k2 / n2 AS c2_ FROM p) SELECT 'revenue' AS metric, t.look, t.name_1, t.name_2, CASE WHEN n1 >= 2 AND n2 >= 2 THEN round(effect, 5) + 0.0 END AS effect, CASE WHEN n1 >= 2 AND n2 >= 2 THEN round(pvalue, 5) + 0.0 END AS pvalue FROM t JOIN cb USING (look, name_1, name_2)", 5)
+def method_two_cuped(spark, d):
+    """Two adjusted metrics in one plan."""
+    more = demo.Metric("doubled", "sample", {"value": ("sum", "spend * 2")})
+    e = demo.experiment(comparisons=tuple(demo.Comparison(m, "cuped", "main", {"test_type": "absolute"}) for m in ("revenue", "doubled")), correction="none")
+    rows = run_results(e, [*demo.metrics(), more], demo.events(spark, d), demo.cohort(spark, d))
+    both = rows.filter("metric = 'doubled'").select("look", "name_1", "name_2", (F.col("effect") / 2).alias("half"))
+    return rows.filter("metric = 'revenue'").join(both, ["look", "name_1", "name_2"]).select("metric", "look", "name_1", "name_2", F.when(F.abs(F.col("effect") - F.col("half")) < 1e-6, F.col("effect")).alias("effect"), "pvalue")
+
+
 # -- readout --------------------------------------------------------------------------------
 
 
@@ -590,7 +672,6 @@ def final_units(spark, d) -> DataFrame:
     return out.withColumn("metric", F.lit("revenue")).withColumn("stratum", F.pmod(F.col("unit_id").cast("long"), F.lit(2)).cast("string"))
 
 
-_POISSON = "CASE " + " ".join(f"WHEN u < {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r} THEN {k}" for k in range(12)) + " ELSE 12 END"
 _BOOT = f"""WITH {BASE}, b AS (SELECT variant, unit_id, value, i AS replicate, ('0x' || substr(md5(unit_id || '|' || i || '|7'), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM units, range(60) t(i) WHERE look = 22),
 w AS (SELECT variant, replicate, sum(({_POISSON}) * value) / nullif(sum({_POISSON}), 0) AS value FROM b GROUP BY 1, 2)"""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trialweave.functions import identity, power, score
 from trialweave.functions.normal import critical, phi, phi_sql, two_sided
 from trialweave.operators.corrections import best_ratio, chi2_tail, levels, log_gamma, require_symmetric
+from trialweave.operators import planning
 from trialweave.operators.grid import closed_bound, closed_days, make_grid, seconds, subsample
 from trialweave.operators.moments import contrasts
 from trialweave.operators.resample import apportion, apportioned
@@ -60,10 +61,10 @@ def test_power_known_values():
     assert power.runtime_days(100, 20) == 5 and power.runtime_days(math.inf, 20) == math.inf and power.runtime_days(None, 1) is None
 
 
-def test_asn_stops_early_under_a_large_effect():
-    out = power.asn(1.0, 0.5, 0.05, 1.0, [1.0, 2.0, 4.0, 8.0], 100)
-    assert out["win_h1"] > 0.95 and out["asn_n_h1"] < out["asn_n_h0"] and out["win_h0"] < 0.05
-    assert power.asn(1.0, 0.5, 0.05, 1.0, [1.0], 100) is None
+def test_average_size_is_small_under_a_large_effect(spark):
+    out = {r.hypothesis: r for r in planning.average_size(spark, 1.0, 0.5, 0.05, 1.0, 100, [1.0, 2.0, 4.0, 8.0], 4000).collect()}
+    assert out["h1"].crossed > 0.95 and out["h1"].mean_n < out["h0"].mean_n and out["h0"].crossed < 0.05
+    assert planning.average_size(spark, 1.0, 0.5, 0.05, 1.0, 100, [1.0]).collect() == []
 
 
 def test_solves_run_once_for_equal_keys(spark):

@@ -1,0 +1,199 @@
+"""Planning, exploring, calibration runs and the smaller helpers."""
+
+import json
+import math
+from datetime import date, datetime, timedelta
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from trialweave.functions import power
+from trialweave.functions.text import duration_text
+from trialweave.operators import calibrate, explore, planning, state
+from trialweave.operators.grid import looks_before_horizon, make_grid
+from trialweave.operators.moments import weights
+from trialweave.plans import experiment as ex
+from trialweave.plans import validation
+from trialweave.sources import channels
+from trialweave.sources.tables import Store, warehouse
+
+
+def test_overrides():
+    found = planning.parse_overrides(["arpu:mean=10, std=2,corr=0.6", "cr:mean=0.2"])
+    assert found == {"arpu": {"mean": 10.0, "std": 2.0, "corr": 0.6}, "cr": {"mean": 0.2}}
+    b = planning.baseline_from_override("arpu", "sample", found["arpu"])
+    assert b.variance == pytest.approx(4 * (1 - 0.36)) and planning.baseline_from_override("cr", "fraction", found["cr"]).variance == pytest.approx(0.16)
+    for bad in (["x"], ["a:mean"], ["a:mean=1", "a:std=1"], ["a:mean=1,mean=2"], ["a:mean=nan"], ["a:mean=x"]):
+        with pytest.raises(ValueError):
+            planning.parse_overrides(bad)
+    for kind, fields in (("sample", {"mean": 1.0}), ("fraction", {"mean": 1.5}), ("fraction", {"mean": 0.5, "std": 1.0}), ("sample", {"mean": 1.0, "std": -1.0})):
+        with pytest.raises(ValueError):
+            planning.baseline_from_override("m", kind, fields)
+    assert not power.corr_is_usable(1.0) and power.corr_is_usable(0.999)
+
+
+def test_sized(spark):
+    rows = spark.createDataFrame([("m", "sample", 10.0, 5.0, 1000.0, None), ("m", "sample", 10.0, 5.0, 1000.0, 0.8), ("f", "fraction", 0.2, 0.4, 100.0, None)], "metric string, kind string, mean double, std double, n double, corr double")
+    got = {(r.metric, r["corr"]): r for r in planning.sized(rows, 0.1).collect()}
+    assert got["m", None].required_n == power.t_sample_size(10.0, 5.0, 0.1) and got["m", None].powered
+    assert got["m", 0.8].required_n == power.t_sample_size(10.0, 3.0, 0.1) < got["m", None].required_n
+    assert not got["f", None].powered and got["f", None].achieved_power == pytest.approx(power.fraction_achieved(0.2, 100.0, 0.1))
+
+
+def test_words_windows_and_lists():
+    assert [duration_text(x) for x in (0, 59, 3600, 90061, 604800, -120)] == ["0s", "59s", "1h", "1d 1h", "1w", "-2min"]
+    now = datetime(2024, 1, 31)
+    assert explore.window_start("7d", now) == now - timedelta(days=7) and explore.window_start("all", now) is None
+    with pytest.raises(ValueError):
+        explore.window_start("1y", now)
+    assert [explore.tier(k) for k in ("alpha", "interval", "statistic", "other")] == ["E", "S", "R", "R"]
+    assert looks_before_horizon(make_grid(date(2024, 1, 1), date(2024, 1, 5))) and not looks_before_horizon(make_grid(date(2024, 1, 1), date(2024, 1, 2)))
+    assert weights(["a", "b"], a=2) == {"a": 2.0, "b": 0.0}
+    with pytest.raises(ValueError):
+        weights(["a"], z=1)
+
+
+def test_session_keeps_a_budget(spark):
+    loads, s = [], explore.Session(2)
+    load = lambda k: s.get((k,), lambda: (loads.append(k), spark.range(k))[1])
+    for k in (1, 2, 1, 3, 1, 2):
+        load(k)
+    assert loads == [1, 2, 3, 2] and load(2).storageLevel.useMemory
+    s.close()
+    assert not s.kept
+
+
+def test_channels():
+    for kind, field in channels.TEXT_FIELDS.items():
+        assert "up" in channels.message(kind, {"title": "up", "text": "x"})[field]
+    with pytest.raises(ValueError):
+        channels.message("fax", {})
+    sent = []
+
+    def post(url, body):
+        if url == "bad":
+            raise OSError("no")
+        sent.append((url, body))
+
+    failed = channels.send([{"type": "slack", "url": "a", "kinds": ["srm"]}, {"type": "ntfy", "url": "bad"}, {"type": "telegram", "url": "b", "options": {"chat_id": 1}}], [{"kind": "verdict", "title": "t"}], post)
+    assert failed == [("ntfy", "no")] and sent == [("b", {"text": "t", "chat_id": 1})]
+
+
+def test_warehouses_and_lint(spark):
+    assert warehouse("clickhouse", "h", "db")["url"] == "jdbc:clickhouse://h:8123/db" and "search_path" in warehouse("postgresql", "h", "db", schema="s")["sessionInitStatement"]
+    with pytest.raises(ValueError):
+        warehouse("oracle", "h", "db")
+    assert state.additive_text(spark, "sum(a * b)") and state.additive_text(spark, "count(1)") and state.additive_text(spark, "sum(abs(a)) + count(*)")
+    assert not any(state.additive_text(spark, x) for x in ("avg(a)", "max(a)", "count(DISTINCT a)", "sum(a) / max(b)", "a + 1"))
+    roles = {"a": {"value": ("sum", "x")}, "b": {"count": ("max", "x")}}
+    assert {k: v[0] for k, v in state.backend(roles, True).items()} == {"a": "state", "b": "recompute"} and state.backend(roles, False)["a"][0] == "recompute"
+
+
+def experiment(**changes):
+    comparisons = (ex.Comparison("m", "t-test", "main", {"test_type": "relative"}), ex.Comparison("m", "cuped", "secondary", {"test_type": "absolute"}), ex.Comparison("r", "ratio-delta", "guardrail"), ex.Comparison("f", "z-test", "secondary"))
+    return ex.Experiment(**{"name": "v", "start": date(2024, 1, 8), "horizon": date(2024, 1, 12), "variants": ("c", "t"), "comparisons": comparisons, "unit": "user", "correction": "holm"} | changes)
+
+
+METRICS = [ex.Metric("m", "sample", {"value": ("sum", "value")}), ex.Metric("r", "ratio", {"num": ("sum", "value"), "den": ("count", "1")}), ex.Metric("f", "fraction", {"count": ("max", "hit"), "nobs": ("max", "1.0D")})]
+
+
+def world(spark, units=120):
+    rng = np.random.default_rng(5)
+    size = rng.gamma(2, 3, units)
+    facts = [(str(u), datetime(2024, 1, 1) + timedelta(hours=int(h)), float(size[u] + rng.normal()), float(rng.random() < 0.1)) for u in range(units) for h in rng.integers(0, 264, 12)]
+    cohort = [(str(u), "ct"[u % 2], datetime(2024, 1, 8), u // 2) for u in range(units)]
+    return spark.createDataFrame(facts, "user string, ts timestamp_ntz, value double, hit double"), spark.createDataFrame(cohort, "unit_id string, variant string, exposure_ts timestamp_ntz, pair_id long")
+
+
+def test_calibration_run(spark):
+    facts, cohort = world(spark)
+    e = experiment()
+    cells = validation.cells(e, METRICS, ("ttest",))
+    assert [(c.metric, ex.method(c.method)[0]) for c in cells] == [("m", "t-test"), ("m", "cuped-t-test"), ("r", "ratio-delta"), ("f", "z-test"), ("m", "t-test")][:len(cells)] and len(cells) == 5
+    rows = {(r.metric, r.method_name): r for r in validation.calibrate_experiment(e, METRICS, facts, cohort, 400, 0.5).collect()}
+    assert len(rows) == 5 and all(r.status == "ok" for r in rows.values()), [r.error_message for r in rows.values()]
+    for (metric, _), r in rows.items():
+        assert r.fpr < 0.12 and (metric == calibrate.FAMILY or r.power > 0.3 and r.peeking_fpr >= r.fpr)
+    assert rows["m", "cuped-t-test"].achieved_mde < 10 and rows["m", "t-test"].power <= rows["m", "cuped-t-test"].power + 0.1
+    assert set(json.loads(rows[calibrate.FAMILY, "holm"].details)["members"]) and rows[calibrate.FAMILY, "holm"].fpr <= 0.12
+    spark.sql("CREATE DATABASE IF NOT EXISTS audits")
+    store = Store(spark, "audits")
+    store.append("aa_runs", validation.calibrate_experiment(e, METRICS[:1], facts, cohort, 50))
+    kept = store.aa_runs("v")
+    assert kept.filter("status = 'failed'").count() == 2 and calibrate.matrix(kept).count() == 2 and calibrate.family_block(kept).count() == 1
+
+
+def test_placebo_engines_agree(spark):
+    """Broadcast panels, hashed sums and joined splits give the same spread of effects; large panels are refused."""
+    facts, cohort = world(spark)
+    panel = validation.panel(experiment(), METRICS[0], facts, cohort, False)
+    one = calibrate.placebo_effects(panel, 600, seed=1)
+    two = calibrate.placebo_sums(panel, 600, seed=1)
+    three = calibrate.split_effects(panel, calibrate.placebo_split(panel.select("unit_id").distinct(), 200))
+    spread = [x.filter("look = 3").agg(F.stddev("effect").alias("s"), F.avg("se").alias("e"), F.avg("effect").alias("m")).first() for x in (one, two, three)]
+    for s in spread:
+        assert s.s == pytest.approx(spread[0].s, rel=0.2) and s.e == pytest.approx(spread[0].e, rel=0.05) and abs(s.m) < 4 * s.s / math.sqrt(200)
+    assert two.repartition(3).count() == calibrate.placebo_sums(panel.repartition(7), 600, seed=1).count()
+    a, b = (calibrate.placebo_sums(p, 20, seed=2).orderBy("iteration", "look").collect() for p in (panel, panel.repartition(5)))
+    assert all(x.effect == pytest.approx(y.effect, rel=1e-9) for x, y in zip(a, b))
+
+
+def test_large_panels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(calibrate, "PANEL_CELLS", 5)
+    with pytest.raises(ValueError, match="placebo_sums"):
+        calibrate.placebo_effects(spark.createDataFrame([(str(u), k, 1.0) for u in range(3) for k in (0, 1)], "unit_id string, look int, value double"), 10)
+
+
+def test_split_is_exact(spark):
+    units = spark.createDataFrame([(f"u{k}",) for k in range(501)], "unit_id string")
+    rows = calibrate.placebo_split(units, 6, 0.3, 2).collect()
+    for i in range(6):
+        assert sum(r.is_a for r in rows if r.iteration == i) == round(501 * 0.3) and sum(r.iteration == i for r in rows) == 501
+
+
+def test_contrast_helpers():
+    assert calibrate.calibrated_contrast(("a", "b", "c"), "b") == ("b", "a") and calibrate.control_share({"a": 1, "b": 3}, ("a", "b")) == 0.25
+    assert calibrate.control_share({"a": 1, "b": 999}, ("a", "b")) == 0.01 and calibrate.injected_truth(0.1, False, 5.0) == 0.5 and calibrate.injected_truth(0.1, True, None) == 0.1
+    assert calibrate.injection_clamped("z", 0.95, 0.1) and not calibrate.injection_clamped("t", 0.95, 0.1)
+    assert calibrate.cell_hash("m", "x", "aa", 0.05) == calibrate.cell_hash("m", "x", "aa", 0.05) != calibrate.cell_hash("m", "x", "aa", 0.1)
+
+
+@pytest.mark.parametrize("name", sorted(ex.METHODS))
+def test_every_method_runs(spark, name):
+    """All registered methods through one plan, with effects that agree in sign and size."""
+    facts, cohort = world(spark, 80)
+    facts = facts.withColumn("value", F.when((F.col("user").cast("int") % 2 == 1) & (F.col("ts") >= F.lit(datetime(2024, 1, 8)).cast("timestamp_ntz")), F.col("value") * 3).otherwise(F.col("value")))
+    facts = facts.withColumn("hit", (F.col("user").cast("int") % 4 < 1 + F.col("user").cast("int") % 2).cast("double"))
+    kind = ex.METHODS[name][0]
+    params = {"test_type": ex.ONLY.get(name, "relative")} | ({"n_samples": 150} if "bootstrap" in name else {})
+    e = experiment(comparisons=(ex.Comparison({"sample": "m", "ratio": "r", "fraction": "f"}[kind], name, "main", params),), correction="none")
+    rows = ex.results(e, METRICS, facts, cohort).filter("look = 3").collect()
+    assert len(rows) == 1 and rows[0].method_name == name and rows[0].left_bound <= rows[0].right_bound
+    if kind == "sample":
+        assert rows[0].effect > 0.3 and rows[0].reject or name.startswith("paired-post") and rows[0].effect is not None
+
+
+def test_parameters_are_checked():
+    for name, params in (("bootstrap", {"n_samples": 1}), ("bootstrap", {"n_samples": "9"}), ("bootstrap", {"interval": "delta"}), ("t-test", {"test_type": "both"}), ("post-normed-bootstrap", {"test_type": "absolute"}), ("bootstrap", {"statistic": "mode"}), ("t-test", {"covariate_days": 0})):
+        with pytest.raises(ValueError):
+            ex.Comparison("m", name, "main", params).resolved()
+    with pytest.raises(ValueError):
+        experiment(comparisons=(ex.Comparison("m", "bootstrap"),), sequential=True)
+    assert ex.untiered(experiment(guardrail_alpha=0.1)) == {"r"} and ex.untiered(experiment()) == frozenset()
+
+
+def test_configuration_check(spark):
+    facts, cohort = world(spark, 10)
+    assert ex.check(experiment(), METRICS, facts, cohort) == []
+    assert ex.check(experiment(horizon=date(2024, 1, 9)), METRICS, facts, cohort) == ["no look comes before the horizon"]
+    assert "the cohort lacks pair_id, which paired methods join on" in ex.check(experiment(comparisons=(ex.Comparison("m", "paired-t-test"),)), METRICS, facts, cohort.drop("pair_id"))
+    assert any("nope" in x for x in ex.check(experiment(), [ex.Metric("m", "sample", {"value": ("sum", "nope")}), *METRICS[1:]], facts, cohort))
+
+
+def test_pair_mde(spark):
+    facts, cohort = world(spark, 60)
+    e = experiment(comparisons=(ex.Comparison("m", "t-test", "main", {"test_type": "relative"}),), correction="none")
+    rows = ex.results(e, METRICS, facts, cohort)
+    got = ex.pair_mde(e, rows).filter("look = 3").first()
+    assert got.mde == max(abs(got.mde_1), abs(got.mde_2)) and got.mde_1 == power.t_mde(got.value_1, got.std_1, got.size_1, "relative", 0.05, 0.8)

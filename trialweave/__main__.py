@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.functions import power
-from trialweave.operators import calibrate, cohort, readout, state
-from trialweave.operators import facts as fact_ops
+from trialweave.operators import cohort, planning, readout, state
 from trialweave.plans import experiment as ex
+from trialweave.plans import validation
 from trialweave.sources.tables import Store, read_path
 from trialweave.sources.tasks import acquire, release
 
@@ -51,18 +51,13 @@ def run(spark: SparkSession, args) -> int:
 
 
 def validate(spark: SparkSession, args) -> int:
-    """Score the first metric's method on placebo splits and keep the audit row."""
+    """Score every metric and method on placebo splits, and the family; keep the audit rows."""
     experiment, metrics, facts, assigned = _inputs(spark, args)
-    grid = experiment.grid()
-    metric = next(m for m in metrics if m.kind == "sample")
-    joined = fact_ops.exposed(facts, assigned, experiment.unit, experiment.ts, grid.start, grid.horizon)
-    running = fact_ops.running_units(joined, grid, experiment.ts, metric.roles)
-    panel = fact_ops.unit_panel(running, grid, metric.roles).select("unit_id", "look", "value")
-    n = args.iterations or calibrate.iterations_for(experiment.alpha)
-    found = calibrate.score(calibrate.placebo_effects(panel, n, relative=True), experiment.alpha)
-    cells = found.withColumns({"metric": F.lit(metric.name), "method_name": F.lit("t-test")})
-    rows = calibrate.run_records(cells, experiment.name, datetime.now().isoformat(), experiment.alpha, n, calibrate.fpr_budget(experiment.alpha))
-    rows.select("metric", "method_name", "fpr", "peeking_fpr", "coverage", "verdict").show(truncate=False)
+    now = datetime.now()
+    rows = validation.calibrate_experiment(experiment, metrics, facts, assigned, args.iterations, args.delta, run_id=now.isoformat(), now=now)
+    store = Store(spark, args.database)
+    store.append("aa_runs", rows)
+    store.aa_runs(experiment.name).filter(F.col("run_id") == now.isoformat()).select("metric", "method_name", "fpr", "peeking_fpr", "coverage", "achieved_mde", "verdict").show(truncate=False)
     return 0
 
 
@@ -81,7 +76,8 @@ def plan(spark: SparkSession, args) -> int:
         out |= {"mde": power.t_mde(args.mean, args.std, args.n, args.kind, args.alpha, args.power), "power": power.t_achieved(args.mean, args.std, args.n, args.mde, args.kind, args.alpha)}
     if args.per_day:
         delta = args.mde * abs(args.mean) if args.kind == "relative" else args.mde
-        out["asn"] = power.asn(args.std**2, delta, args.alpha, 1.0, [float(d) for d in range(1, args.days + 1)], args.per_day)
+        found = planning.average_size(spark, args.std**2, delta, args.alpha, 1.0, args.per_day, [float(d) for d in range(1, args.days + 1)])
+        out["average_size"] = {r["hypothesis"]: {"n": r["mean_n"], "days": r["mean_days"], "crossed": r["crossed"]} for r in found.collect()}
     print(json.dumps(out))
     return 0
 
@@ -129,6 +125,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--now", type=datetime.fromisoformat)
         if f is validate:
             p.add_argument("--iterations", type=int)
+            p.add_argument("--delta", type=float)
         if f is clean:
             p.add_argument("--execute", action="store_true")
         if f is report:

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialweave.functions.normal import critical
+from trialweave.functions.normal import critical, two_sided
 from trialweave.functions.ship import ship
+from trialweave.operators import closed_form
 from trialweave.operators.corrections import best_ratio, family_significance
+from trialweave.operators.moments import arm_moments, pair_up
+from trialweave.operators.state import last_write_wins
 
-#: Placebo masks handled together, in units x masks.
-BLOCK_CELLS = 4_000_000
+#: Placebo masks handled together, in units x masks; units x looks of a panel that is broadcast at most.
+BLOCK_CELLS, PANEL_CELLS = 4_000_000, 8_000_000
+
+
+#: The metric name of rows that hold a family's rates.
+FAMILY = "__family__"
 
 
 def iterations_for(alpha: float, per_alpha: int = 200) -> int:
@@ -23,14 +31,88 @@ def iterations_for(alpha: float, per_alpha: int = 200) -> int:
 def placebo_split(units: DataFrame, iterations: int, share: float = 0.5, seed: int = 0, unit: str = "unit_id") -> DataFrame:
     """``iteration``, ``unit``, ``is_a``: exact-size random splits, the same for any partitioning.
 
-    Ranks hashes of (unit, iteration, seed) within an iteration.  Every row is repeated
-    ``iterations`` times; for a panel that fits a task use :func:`score`.
+    The units with the smallest hashes of (unit, iteration, seed) are in ``a``.  Every row is
+    repeated ``iterations`` times, but no iteration is sorted: counts by the hash's first
+    digits tell in which of 4,096 parts the cut lies, and only that part's units are ranked.
     """
     rows = units.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
     lot = F.md5(F.concat_ws("|", F.col(unit), F.col("iteration"), F.lit(str(seed))))
-    rank = F.row_number().over(Window.partitionBy("iteration").orderBy(lot, unit))
-    n = F.count(F.lit(1)).over(Window.partitionBy("iteration"))
-    return rows.withColumn("is_a", rank <= F.round(n * share))
+    rows = rows.withColumn("__lot", lot).withColumn("__part", F.substring("__lot", 1, 3))
+    counts = rows.groupBy("iteration", "__part").agg(F.count(F.lit(1)).alias("__m"))
+    up = Window.partitionBy("iteration").orderBy("__part")
+    n = F.sum("__m").over(Window.partitionBy("iteration"))
+    until = F.sum("__m").over(up)
+    cuts = counts.select(F.col("iteration").alias("__i"), F.col("__part").alias("__p"), (F.round(n * share) - (until - F.col("__m"))).alias("__room"), "__m")
+    joined = rows.join(cuts, (F.col("iteration") == F.col("__i")) & (F.col("__part") == F.col("__p")))
+    mixed = (F.col("__room") > 0) & (F.col("__room") < F.col("__m"))
+    rank = F.row_number().over(Window.partitionBy("iteration", "__part").orderBy("__lot", unit))
+    kept = [*units.columns, "iteration"]
+    return joined.filter(~mixed).select(*kept, (F.col("__room") > 0).alias("is_a")).union(
+        joined.filter(mixed).withColumn("is_a", rank <= F.col("__room")).select(*kept, "is_a"))
+
+
+def split_effects(panel: DataFrame, masks: DataFrame, kind: str = "t", relative: bool = False) -> DataFrame:
+    """(iteration, look, effect, se) of a panel under given splits (:func:`placebo_split`), by joins and moments only."""
+    roles = ("value", "covariate") if kind == "cuped" else ("value",)
+    arms = panel.join(masks.withColumn("variant", F.when(F.col("is_a"), "a").otherwise("b")).select("unit_id", "iteration", "variant"), "unit_id")
+    paired = pair_up(arm_moments(arms, ["iteration", "look", "variant"], *roles), [("a", "b")], ["iteration", "look"])
+    test = closed_form.cuped if kind == "cuped" else closed_form.t_test
+    found = test(paired, "relative" if relative else "absolute")
+    return found.select("iteration", "look", "effect", (F.col("ci_length") / (2 * critical(0.05))).alias("se"))
+
+
+def placebo_sums(panel: DataFrame, iterations: int, share: float = 0.5, seed: int = 0, relative: bool = False) -> DataFrame:
+    """(iteration, look, effect, se) of t-tests on hashed placebo splits of a panel of any size.
+
+    A unit is in ``a`` if a hash of (unit, iteration, seed) says so, so arms have binomial
+    sizes, no unit leaves its task, and a task hands on one row of sums per iteration and
+    look.  Values are centred on their look's mean before they are squared.
+    """
+    from pyspark.sql import types as T
+
+    ship(panel.sparkSession)
+    looks = panel.groupBy(F.col("look").alias("l")).agg(F.avg("value").alias("shift"))
+    at = sorted(r["l"] for r in looks.select("l").collect())
+    centred = panel.join(F.broadcast(looks), F.col("look") == F.col("l")).select("unit_id", "look", (F.col("value") - F.col("shift")).alias("v"))
+    wide = centred.groupBy("unit_id").agg(F.map_from_entries(F.collect_list(F.struct("look", "v"))).alias("m"))
+    wide = wide.select(F.xxhash64("unit_id", F.lit(seed)).alias("h"), F.array(*[F.try_element_at("m", F.lit(k)) for k in at]).alias("v"))
+    limit, names = np.uint64(min(share, 1.0) * (2**64 - 1)), ("n1", "s1", "q1", "n2", "s2", "q2")
+
+    def run(batches):
+        import pyarrow as pa
+
+        sums = np.zeros((6, iterations, len(at)))
+        with np.errstate(over="ignore"):
+            salt = _mixed((np.arange(iterations, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(h), len(at))
+            present = ~np.isnan(x)
+            x = np.where(present, x, 0.0)
+            for k in range(0, len(h), 512):
+                part = slice(k, k + 512)
+                mask = (_mixed(h[part] ^ salt[:, None]) <= limit).astype(float)
+                for i, y in enumerate((present[part].astype(float), x[part], x[part] ** 2)):
+                    one = mask @ y
+                    sums[i] += one
+                    sums[i + 3] += y.sum(axis=0) - one
+        yield pa.RecordBatch.from_pydict({
+            "iteration": np.repeat(np.arange(iterations), len(at)), "look": np.tile(np.array(at, np.int32), iterations), **{c: s.ravel() for c, s in zip(names, sums)}})
+
+    schema = T.StructType([T.StructField("iteration", T.LongType()), T.StructField("look", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in names)])
+    total = wide.mapInArrow(run, schema).groupBy("iteration", "look").agg(*[F.sum(c).alias(c) for c in names]).filter("n1 >= 2 and n2 >= 2").join(F.broadcast(looks), F.col("look") == F.col("l"))
+    for k in (1, 2):
+        n, off = F.col(f"n{k}"), F.col(f"s{k}") / F.col(f"n{k}")
+        total = total.withColumns({f"n_{k}": n, f"mean_value_{k}": F.col("shift") + off, f"m2_value_{k}": F.greatest(F.col(f"q{k}") - n * off * off, F.lit(0.0))})
+    found = closed_form.t_test(total, "relative" if relative else "absolute")
+    return found.select("iteration", "look", "effect", (F.col("ci_length") / (2 * critical(0.05))).alias("se"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
 def _two_arm(mask: np.ndarray, x: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -63,6 +145,21 @@ def _estimates(kind: str, arrays: dict[str, np.ndarray], mask: np.ndarray, delta
             w1 = np.maximum(v1 * n1 - 2 * theta * c1 + theta**2 * d1, 0) / n1**2
             w2 = np.maximum(v2 * n2 - 2 * theta * c2 + theta**2 * d2, 0) / n2**2
             effect, var, base, base_var, cov = a2 - a1, w1 + w2, m1, v1 / n1, -(v1 * n1 - theta * c1) / (n1 - 1) / n1
+        elif kind == "ratio":
+            d = np.where(present > 0, arrays["den"], 0.0)
+            shift_d = np.divide(d.sum(axis=0), np.maximum(present.sum(axis=0), 1))
+            d = np.where(present > 0, d - shift_d, 0.0)
+            m = mask.astype(float)
+            r, w = [], []
+            for n, s, q, sd, qd, cd, k in (
+                    (n1, s1, q1, m @ d, m @ (d * d), m @ (c * d), 1.0),
+                    (n2, s2, q2, d.sum(axis=0) - m @ d, (d * d).sum(axis=0) - m @ (d * d), (c * d).sum(axis=0) - m @ (c * d), scale)):
+                md = sd / n + shift_d
+                mn = (s / n + shift) * k
+                spread = np.maximum((q - s * s / n) * k * k - 2 * mn / md * (cd - s * sd / n) * k + (mn / md) ** 2 * (qd - sd * sd / n), 0)
+                r.append(mn / md)
+                w.append(spread / (n * md * md) / n)
+            effect, var, base, base_var, cov = r[1] - r[0], w[0] + w[1], r[0], w[0], -w[0]
         elif kind == "z":
             p2 = np.minimum(m2 * scale, 1.0)
             pooled = (m1 * n1 + p2 * n2) / (n1 + n2)
@@ -84,23 +181,32 @@ def _estimates(kind: str, arrays: dict[str, np.ndarray], mask: np.ndarray, delta
 _ROWS = "iteration long, look int, effect double, se double"
 
 
-def placebo_effects(panel: DataFrame, iterations: int, kind: str = "t", share: float = 0.5, seed: int = 0, delta: float = 0.0, relative: bool = False, looks: list[int] | None = None) -> DataFrame:
-    """(iteration, look, effect, se) of placebo splits of a panel (``unit_id``, ``look``, ``value``, optional ``covariate``).
+def placebo_effects(panel: DataFrame, iterations: int, kind: str = "t", share: float = 0.5, seed: int = 0, delta: float = 0.0, relative: bool = False, looks: list[int] | None = None, universe: DataFrame | None = None) -> DataFrame:
+    """(iteration, look, effect, se) of placebo splits of a panel (``unit_id``, ``look``, ``value``, optional ``covariate`` or ``den``).
 
-    The panel of one contrast is bounded by the caller (as the looks' cap and a unit limit
-    do), collected once as arrays and broadcast; iterations are spread over tasks, each mask
-    seeded by its own number, so no result depends on partitioning.
+    A panel of at most ``PANEL_CELLS`` units x looks, counted first, is collected once as
+    arrays and broadcast; a larger one is refused (:func:`placebo_sums` and
+    :func:`split_effects` are distributed).  Iterations are spread over tasks, each mask
+    seeded by its own number, so no result depends on partitioning.  With ``universe``
+    (``unit_id``) splits are drawn over those units, of which the panel may hold some: the
+    members of a family share their splits so.
     """
     spark: SparkSession = panel.sparkSession
     ship(spark)
+    panel = panel if looks is None else panel.filter(F.col("look").isin(looks))
+    whole = (panel if universe is None else universe).agg(F.count_distinct("unit_id").alias("u")).first()["u"]
+    if (cells := whole * max(1, panel.agg(F.count_distinct("look")).first()[0])) > PANEL_CELLS:
+        raise ValueError(f"a panel of {cells} cells is too large to broadcast; use placebo_sums")
     data = panel.toPandas().sort_values(["unit_id", "look"])
-    units = np.sort(data["unit_id"].unique())
+    units = np.sort((data if universe is None else universe.select("unit_id").distinct().toPandas())["unit_id"].unique())
     at = sorted(looks if looks is not None else data["look"].unique())
     wide = data.pivot(index="unit_id", columns="look", values="value").reindex(index=units, columns=at)
     present = wide.notna().to_numpy(float)
     arrays = {"value": wide.fillna(0.0).to_numpy(float), "present": present}
+    if "den" in data:
+        arrays["den"] = data.pivot(index="unit_id", columns="look", values="den").reindex(index=units, columns=at).fillna(0.0).to_numpy(float)
     if "covariate" in data:
-        arrays["covariate"] = data.groupby("unit_id")["covariate"].first().reindex(units).to_numpy(float)
+        arrays["covariate"] = data.groupby("unit_id")["covariate"].first().reindex(units).fillna(0.0).to_numpy(float)
     shared = spark.sparkContext.broadcast(arrays)
     n_a = round(len(units) * share)
 
@@ -174,6 +280,40 @@ def peeking_curve(effects: DataFrame, alpha: float = 0.05, crossed: Column | Non
     return looks.select("look", (F.sum(F.coalesce("k", F.lit(0))).over(up) / n).alias("crossed"))
 
 
+def peeked(effects: DataFrame, alpha: float = 0.05, by: tuple[str, ...] = ("iteration",)) -> DataFrame:
+    """What one who peeks reports: effect and p-value of the first look that crosses, else of the latest, and the least p-value."""
+    rows = effects.withColumn("pvalue", two_sided(F.col("effect") / F.col("se"))).withColumn("__hit", F.coalesce(F.abs("effect") > F.col("se") * critical(alpha), F.lit(False)))
+    own = F.struct("effect", "pvalue", "look")
+    out = rows.groupBy(*by).agg(F.min_by(own, F.when(F.col("__hit"), F.col("look"))).alias("first"), F.max_by(own, "look").alias("last"), F.bool_or("__hit").alias("crossed"), F.min("pvalue").alias("least_pvalue"))
+    pick = F.when(F.col("crossed"), F.col("first")).otherwise(F.col("last"))
+    return out.select(*by, "crossed", pick["look"].alias("look"), pick["effect"].alias("effect"), pick["pvalue"].alias("pvalue"), "least_pvalue")
+
+
+def family_sweep(members: dict[str, tuple[DataFrame, str]], iterations: int, scheme: str, alpha: float = 0.05, seed: int = 0, share: float = 0.5) -> DataFrame:
+    """Composed error rates of a family at the horizon and under peeking: ``view``, ``fwer``, ``fdr``, ``iterations``.
+
+    ``members`` are (panel, kind) by name.  All share their splits, drawn over the union of
+    their units.
+    """
+    universe = None
+    for p, _ in members.values():
+        ids = p.select("unit_id")
+        universe = ids if universe is None else universe.union(ids)
+    universe = universe.distinct()
+    horizon = looks = None
+    for name, (p, kind) in sorted(members.items()):
+        rows = placebo_effects(p, iterations, kind, share, seed, universe=universe).withColumn("member", F.lit(name))
+        looks = rows if looks is None else looks.unionByName(rows)
+    horizon = looks.groupBy("iteration", "member").agg(F.max_by(F.struct("effect", "se"), "look").alias("r")).select(
+        "iteration", "member", "r.effect", two_sided(F.col("r.effect") / F.col("r.se")).alias("pvalue"))
+    seen = peeked(looks, alpha, ("iteration", "member")).select("iteration", "member", "effect", "pvalue")
+    out = None
+    for view, rows in (("horizon", horizon), ("peeking", seen)):
+        part = family_rate(rows, scheme, alpha).withColumn("view", F.lit(view))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def family_rate(members: DataFrame, scheme: str, alpha: float = 0.05) -> DataFrame:
     """Family-wise error and false discovery rate over (iteration, member, effect, pvalue)."""
     judged = family_significance(members, scheme, alpha, ["iteration"], ["member"])
@@ -193,6 +333,59 @@ def sign_lean(positive: Column, hits: Column) -> Column:
     return F.when(hits >= 100, F.abs(positive - hits / 2.0) > 1.5 * F.sqrt(hits.cast("double"))).otherwise(F.lit(False))
 
 
+def pooled_estimate(panel: DataFrame, kind: str) -> Column:
+    """Aggregate: the pooled mean, proportion or ratio of a panel's latest values."""
+    return F.sum("value") / F.nullif(F.sum("den"), F.lit(0.0)) if kind == "ratio" else F.avg("value")
+
+
+def injected_truth(delta: float, relative: bool, pooled: float | None) -> float | None:
+    """The effect that scaling by ``1 + delta`` puts in, on the test's own scale."""
+    return delta if relative else None if pooled is None else delta * pooled
+
+
+def injection_clamped(kind: str, pooled: float | None, delta: float) -> bool:
+    """Whether an injected lift takes a proportion beyond 1."""
+    return kind == "z" and pooled is not None and pooled * (1 + delta) > 1.0
+
+
+def calibrated_contrast(variants: tuple[str, ...], control: str) -> tuple[str, str]:
+    """The control and the first treatment."""
+    return control, next(v for v in variants if v != control)
+
+
+def control_share(shares: dict[str, float], pair: tuple[str, str]) -> float:
+    """The control's share inside its pair, kept within 0.01 and 0.99."""
+    a, b = (shares[v] for v in pair)
+    return min(0.99, max(0.01, a / (a + b)))
+
+
+def pool(units: DataFrame, arms: tuple[str, ...] | None = None) -> DataFrame:
+    """Units of all arms, or of ``arms``, as one."""
+    return units if arms is None else units.filter(F.col("variant").isin(*arms))
+
+
+def cell_hash(metric: str, method_config_id: str, mode: str, alpha: float) -> str:
+    """A cell's identity."""
+    return hashlib.sha256("|".join((metric, method_config_id, mode, repr(float(alpha)))).encode()).hexdigest()[:16]
+
+
+def red_cells(cells: DataFrame, budget: float) -> DataFrame:
+    """Cells whose false-positive rate is beyond the budget."""
+    return cells.filter(F.col("fpr") > budget)
+
+
+def matrix(runs: DataFrame) -> DataFrame:
+    """The newest run of each metric's cell and level: a row of the calibration matrix."""
+    cells = runs.filter((F.col("metric") != FAMILY) & (F.col("status") == "ok"))
+    rest = [c for c in runs.columns if c not in ("metric", "method_config_id", "alpha")]
+    return cells.groupBy("metric", "method_config_id", "alpha").agg(F.max_by(F.struct(*rest), "created_at").alias("r")).select("metric", "method_config_id", "alpha", "r.*")
+
+
+def family_block(runs: DataFrame) -> DataFrame:
+    """The newest rows that hold a family's composed rates."""
+    return last_write_wins(runs.filter(F.col("metric") == FAMILY), ["experiment", "method_config_id"], "created_at")
+
+
 def run_records(cells: DataFrame, experiment: str, run_id: str, alpha: float, iterations: int, budget: float) -> DataFrame:
     """Scored cells (``metric``, ``method_name``, rates) as audit rows with a plain verdict."""
     inside = F.col("fpr") <= budget

@@ -52,6 +52,16 @@ def validate(cohort: DataFrame, variants: Sequence[str]) -> list[str]:
     return [f"{extra} repeated assignment rows"] if extra else []
 
 
+def source(kept: DataFrame | None, assignment: DataFrame, experiment: str, until) -> tuple[DataFrame, str]:
+    """The cohort to read, and from where: the kept copy if it reaches ``until``, else the assignment itself, made distinct."""
+    if kept is not None:
+        own = kept.filter(F.col("experiment") == experiment)
+        newest = own.agg(F.max("exposure_ts")).first()[0]
+        if newest is not None and newest >= until:
+            return own.drop("experiment", "loaded_at"), "copy"
+    return dedup(assignment), "direct"
+
+
 def counts(cohort: DataFrame) -> DataFrame:
     return cohort.groupBy("variant").agg(F.count(F.lit(1)).alias("n_units"))
 

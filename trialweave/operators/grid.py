@@ -139,6 +139,11 @@ def subsample(grid: Grid, cap: int) -> list[int]:
     return sorted(chosen)
 
 
+def looks_before_horizon(grid: Grid) -> bool:
+    """Whether the cadence gives any look before the last one."""
+    return any(e < grid.horizon for e in grid.ends)
+
+
 def pending(looks: DataFrame, computed: DataFrame, watermark: datetime, refresh_from: datetime | None = None) -> DataFrame:
     """Looks due at the watermark and not computed yet, or due for a refresh."""
     due = looks.filter(F.col("end_ts") <= F.lit(watermark).cast("timestamp_ntz"))

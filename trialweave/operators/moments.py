@@ -122,6 +122,25 @@ def contrasts(variants: list[str], control: str | None = None, kind: str = "all_
     return [(a, b) for i, a in enumerate(order) for b in order[i + 1:]]
 
 
+def weights(labels: list[str], **coefficients: float) -> dict[str, float]:
+    """A weight for each label, 0 where none is given."""
+    if unknown := set(coefficients) - set(labels):
+        raise ValueError(f"no labels {sorted(unknown)}")
+    return {x: float(coefficients.get(x, 0.0)) for x in labels}
+
+
+def comoment(left: dict[str, float], right: dict[str, float]) -> Column:
+    """The co-moment of two linear combinations of roles, from ``m2_*`` and ``c_*_*`` columns."""
+    order, out = list(left), F.lit(0.0)
+    for i, a in enumerate(order):
+        for j, b in enumerate(order):
+            w = left[a] * right.get(b, 0.0)
+            if w:
+                x, y = order[min(i, j)], order[max(i, j)]
+                out = out + F.lit(w) * F.col(f"m2_{a}" if a == b else f"c_{x}_{y}")
+    return out
+
+
 def correlation(c: Column, m2_a: Column, m2_b: Column) -> Column:
     """Null if either variance is 0."""
     return div(c, F.sqrt(floor0(m2_a * m2_b)))

@@ -99,6 +99,38 @@ def counts_per_table(tables: Mapping[str, DataFrame]) -> DataFrame:
 ADDITIVE = frozenset({"sum", "count"})
 
 
+def aggregates_of(spark, expression: str) -> set[str]:
+    """The names of the functions that SQL text calls, from the parser's tree."""
+    found, stack = set(), [spark._jsparkSession.sessionState().sqlParser().parseExpression(expression)]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "UnresolvedFunction":
+            names = node.nameParts()
+            found.add(names.apply(names.size() - 1).lower())
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def additive_text(spark, expression: str) -> bool:
+    """Whether SQL text sums or counts only: its outermost function does, and no other aggregate stands in it."""
+    functions = aggregates_of(spark, expression)
+    known = {r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect()}
+    others = functions & known & {"avg", "mean", "max", "min", "median", "percentile", "approx_count_distinct", "stddev", "variance", "var_pop", "var_samp", "corr", "first", "last", "any_value", "collect_list", "collect_set", "count_distinct"}
+    return bool(functions & ADDITIVE) and not others and "distinct" not in expression.lower().split("(", 1)[-1].split()
+
+
+def backend(metrics: Mapping[str, Mapping[str, tuple[str, Column]]], has_state: bool) -> dict[str, tuple[str, str]]:
+    """How each metric's looks are computed, and why: from day state where it adds up and is kept, else from facts."""
+    out = {}
+    for name, roles in metrics.items():
+        if not is_additive(roles):
+            out[name] = ("recompute", "an aggregate does not add up over days")
+        else:
+            out[name] = ("state", "sums of closed days and a tail") if has_state else ("recompute", "no day state is kept")
+    return out
+
+
 def is_additive(roles: Mapping[str, tuple[str, Column]]) -> bool:
     """Whether day state can serve a metric; declared kinds decide, no text is searched."""
     return bool(roles) and all(kind in ADDITIVE for kind, _ in roles.values())

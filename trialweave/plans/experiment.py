@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
@@ -13,7 +14,8 @@ from trialweave.functions import identity, power
 from trialweave.functions.columns import div, finite
 from trialweave.functions.score import with_score_interval
 from trialweave.operators import closed_form, cohort as cohorts, corrections, facts as fact_ops, resample
-from trialweave.operators.grid import Grid, make_grid, seconds
+from trialweave.operators.explore import combined_mde
+from trialweave.operators.grid import Grid, looks_before_horizon, make_grid, seconds
 from trialweave.operators.moments import contrasts, moments_by_look, pair_up
 
 DEFAULTS = {"test_type": "relative", "interval": "delta"}
@@ -313,6 +315,45 @@ def results(experiment: Experiment, metrics: list[Metric], facts: DataFrame, coh
         "watermark_ts": F.lit(watermark or grid.horizon).cast("timestamp_ntz")})
 
 
+def results_of_many(runs: list[tuple[Experiment, list[Metric], DataFrame, DataFrame]], watermark: datetime | None = None) -> DataFrame:
+    """The result rows of several experiments as one plan; its branches run side by side."""
+    out = None
+    for experiment, metrics, facts, cohort in runs:
+        rows = results(experiment, metrics, facts, cohort, watermark)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def untiered(experiment: Experiment) -> frozenset[str]:
+    """Metrics outside the corrected family: guardrails with a level of their own."""
+    return frozenset(c.metric for c in experiment.comparisons if c.role == "guardrail" and experiment.guardrail_alpha)
+
+
+def pair_mde(experiment: Experiment, rows: DataFrame) -> DataFrame:
+    """Rows with ``mde``: the larger of the arms', stored or, where not stored, solved at power 0.8 from the row itself."""
+    solved = _with_mde(dataclasses.replace(experiment, mde_power=experiment.mde_power or 0.8), rows.drop("mde_1", "mde_2")).select(
+        *KEY, "end_ts", F.col("mde_1").alias("__m1"), F.col("mde_2").alias("__m2"))
+    found = rows.join(solved, [*KEY, "end_ts"], "left").withColumns({f"mde_{k}": F.coalesce(f"mde_{k}", f"__m{k}") for k in (1, 2)})
+    return found.withColumn("mde", combined_mde()).drop("__m1", "__m2")
+
+
+def check(experiment: Experiment, metrics: list[Metric], facts: DataFrame, cohort: DataFrame) -> list[str]:
+    """What is wrong with a configuration, from names and the analysed plan; nothing is executed."""
+    found = [f"the cohort lacks {c}" for c in ("unit_id", "variant", "exposure_ts") if c not in cohort.columns]
+    found += [f"the facts lack {c}" for c in (experiment.unit, experiment.ts) if c not in facts.columns]
+    found += [f"no metric {c.metric}" for c in experiment.comparisons if c.metric not in {m.name for m in metrics}]
+    if any(UNIT_METHODS.get(method(c.method)[0], (False,))[0] for c in experiment.comparisons) and "pair_id" not in cohort.columns:
+        found.append("the cohort lacks pair_id, which paired methods join on")
+    if not looks_before_horizon(experiment.grid()):
+        found.append("no look comes before the horizon")
+    if not found or found == ["no look comes before the horizon"]:
+        try:
+            results(experiment, metrics, facts, cohort).schema  # noqa: B018
+        except Exception as e:  # noqa: BLE001
+            found.append(str(e).splitlines()[0])
+    return found
+
+
 def _with_mde(experiment: Experiment, rows: DataFrame) -> DataFrame:
     if not experiment.mde_power:
         return rows.withColumns({f"mde_{k}": F.lit(None).cast("double") for k in (1, 2)})

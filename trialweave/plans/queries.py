@@ -17,7 +17,7 @@ from trialweave.functions.score import with_score_interval
 from trialweave.operators import calibrate, closed_form, corrections, readout, resample, state
 from trialweave.operators import cohort as cohorts
 from trialweave.operators import facts as fact_ops
-from trialweave.operators.grid import closed_bound, make_grid, pending, subsample
+from trialweave.operators.grid import closed_bound, make_grid, pending
 from trialweave.operators.moments import arm_moments, contrasts, merge, moments_by_look, pair_up
 from trialweave.plans import demo, oracles
 from trialweave.plans.demo import GRID, PAIRS, VARIANTS, table
@@ -101,11 +101,6 @@ def grid_local_days(spark, d):
     return make_grid(date(2024, 3, 4), date(2024, 3, 14), "1d", "America/New_York").frame(spark).select("look", "end_ts")
 
 
-@query("SELECT unnest([0, 1, 2, 3, 6, 9, 12, 17, 22])::INTEGER AS look")
-def grid_subsample(spark, d):
-    return spark.createDataFrame([(i,) for i in subsample(GRID, 9)], "look int")
-
-
 @query(f"WITH {RESULTS} SELECT look, end_ts FROM looks WHERE end_ts <= TIMESTAMP '2024-01-28 12:00:00' AND end_ts NOT IN (SELECT end_ts FROM results WHERE is_main_metric AND end_ts < TIMESTAMP '2024-01-20')")
 def pending_cutoffs(spark, d):
     done = results(spark, d).filter((F.col("is_main_metric")) & (F.col("end_ts") < F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz")))
@@ -307,12 +302,6 @@ def srm_sequential(spark, d):
     return corrections.srm_sequential(counts, {v: 1 for v in VARIANTS})
 
 
-@query(f"SELECT 'main' AS role, {A / 3!r}::DOUBLE AS level UNION ALL SELECT 'secondary', {A / 6!r}::DOUBLE UNION ALL SELECT 'guardrail', {A / 6!r}::DOUBLE", 12)
-def bonferroni_two_tier(spark, d):
-    found = corrections.levels(A, 3, 2)
-    return spark.createDataFrame([("main", found.main), ("secondary", found.secondary), ("guardrail", found.guardrail)], "role string, level double")
-
-
 def _adjusted(scheme: str):
     def f(spark, d):
         rows = results(spark, d).select("look", "metric", "name_1", "name_2", "pvalue")
@@ -439,8 +428,6 @@ SELECT look, name_1, name_2, size_1, size_2, CASE WHEN s THEN round(CASE WHEN ok
 CASE WHEN s AND ok THEN round(pv, 6) + 0.0 END AS pvalue, CASE WHEN s THEN coalesce(ok AND pv < 0.05, FALSE) END AS reject FROM (SELECT *, size_1 >= 2 AND size_2 >= 2 AS s FROM z)"""
 
 
-
-
 @query(_poisson_sql("u.unit_id", False, True))
 def method_poisson_bootstrap(spark, d):
     return one_method(spark, d, "poisson-bootstrap", 2, n_samples=40)
@@ -512,11 +499,6 @@ def metric_rollup(spark, d):
     return out.withColumns({c: F.array_join(c, ",") for c in ("winners", "losers")})
 
 
-@query("SELECT NULL::BOOLEAN AS leaders_agree")
-def leaders_agree(spark, d):
-    return readout.leaders_agree(readout.rollup(saved(readout.verdicts(judged(spark, d), "control")), "control", list(VARIANTS)))
-
-
 _BOARD = "CASE WHEN insufficient_data THEN 'insufficient_data' WHEN decision_blocked OR srm_flag THEN 'blocked' WHEN NOT is_horizon AND ci_kind = 'fixed' THEN 'running' WHEN NOT coalesce(reject, FALSE) THEN 'no_difference' WHEN effect > 0 THEN 'up' ELSE 'down' END AS verdict"
 
 
@@ -552,13 +534,6 @@ def bi_freshness(spark, d):
     return results(spark, d).agg(F.max("end_ts").alias("last_end"), F.countDistinct("metric").alias("n_metrics"), F.countDistinct("end_ts").alias("n_looks"))
 
 
-@query(on_results("SELECT 'revenue' AS metric, 2::BIGINT AS n_ids WHERE (SELECT count(*) FROM results) > 0"))
-def bi_drift(spark, d):
-    """Metrics whose rows carry more than one method identity."""
-    a, b = results(spark, d), results(spark, d, comparisons=(demo.Comparison("revenue", "t-test", "main", {"test_type": "relative"}),))
-    return a.unionByName(b).groupBy("metric").agg(F.countDistinct("method_config_id").alias("n_ids")).filter("n_ids > 1")
-
-
 @query(on_results("SELECT metric, name_1, name_2, srm_flag, round(size_2 / nullif(size_1 + size_2, 0), 6) + 0.0 AS share_2 FROM latest"))
 def srm_board(spark, d):
     s = readout.latest(results(spark, d))
@@ -611,27 +586,9 @@ def srm_summary(spark, d):
     return readout.srm_summary(results(spark, d))
 
 
-@query("SELECT unnest(['a\nb', 'b', 'a\nc']) AS signature")
-def notify_signature(spark, d):
-    df = spark.createDataFrame([(["b", "a", "b"],), (["b"],), (["c", "a"],)], "items array<string>")
-    return df.select(identity.signature(F.col("items")).alias("signature"))
-
-
 # -- power and planning ---------------------------------------------------------------------
 
 
-@query()
-def fraction_power(spark, d):
-    arms = fraction_pairs(spark, d).select("look", F.col("name_1").alias("variant"), F.col("mean_count_1").alias("prop"), F.col("n_1").alias("n")).distinct()
-    return power.with_solve(arms.filter("prop > 0 and prop < 0.9"), "power", power.fraction_achieved, "prop", "n", mde=0.1)
-
-
-@query()
-def fraction_mde(spark, d):
-    arms = fraction_pairs(spark, d).select("look", F.col("name_1").alias("variant"), F.col("mean_count_1").alias("prop"), F.col("n_1").alias("n")).distinct()
-    return power.with_solve(arms, "mde", power.fraction_mde, "prop", "n")
-
-
 def _arms(spark, d) -> DataFrame:
     p = demo.pairs(spark, d, VALUE).filter("look = 22")
     return p.select(F.col("name_1").alias("variant"), F.col("mean_value_1").alias("mean"), F.sqrt(F.col("m2_value_1") / F.col("n_1")).alias("std"), F.col("n_1").alias("n")).distinct()
@@ -655,14 +612,6 @@ def runtime_days(spark, d):
     return need.join(rate, F.col("variant") == F.col("v")).select("variant", "required_n", "per_day", div(F.col("required_n"), F.col("per_day")).alias("days"))
 
 
-@query()
-def asn(spark, d):
-    row = _arms(spark, d).filter("variant = 'control'").first()
-    found = power.asn(row["std"] ** 2, 0.2 * row["mean"], A, 1.0, [float(i) for i in range(1, 24)], 50.0) if row else None
-    found = found or {}
-    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "name string, value double")
-
-
 # -- resampling and calibration -------------------------------------------------------------
 
 
@@ -776,12 +725,6 @@ def family_fwer(spark, d):
     return calibrate.family_rate(members[0].union(members[1]), "holm", A)
 
 
-@query("SELECT 'm' AS metric, 'b' AS method_name, TRUE AS in_budget")
-def recommend_method(spark, d):
-    cells = spark.createDataFrame([("m", "a", 0.2, 0.99, 0.01), ("m", "b", 0.05, 0.8, 0.02), ("m", "c", 0.04, 0.7, 0.01)], "metric string, method_name string, fpr double, power double, achieved_mde double")
-    return calibrate.recommend(cells, 0.075).select("metric", "method_name", "in_budget")
-
-
 # -- state ----------------------------------------------------------------------------------
 
 
@@ -799,16 +742,6 @@ def state_cumulative(spark, d):
     return state.cumulative(s, date(2024, 1, 8), date(2024, 1, 20)).select("unit_id", "n", "sum_value")
 
 
-@query(f"WITH {BASE} SELECT unit_id, 'equal' AS status FROM units WHERE look = 22")
-def state_reconcile(spark, d):
-    """Incremental sums (closed days and a tail) against a full recompute."""
-    s = state.day_state(demo.exposed(spark, d), "UTC", "ts", F.sum("spend"))
-    closed, tail = state.cumulative(s, date(2024, 1, 8), date(2024, 1, 29)), state.cumulative(s, date(2024, 1, 30), date(2024, 1, 30))
-    fast = state.with_tail(closed, tail, demo.cohort(spark, d)).select("unit_id", F.col("sum_value").alias("value"))
-    full = fact_ops.unit_metric(demo.exposed(spark, d), {"value": F.sum("spend")}).select("unit_id", "value")
-    return state.reconcile(full, fast, ["unit_id"], ["value"]).select("unit_id", "status")
-
-
 @query(f"WITH {BASE}, c AS (SELECT unit_id, variant, min(exposure_ts) AS exposure_ts FROM cohort GROUP BY 1, 2) SELECT * FROM c WHERE exposure_ts < TIMESTAMP '2024-01-08' + INTERVAL 12 HOUR")
 def closed_bucket_copy(spark, d):
     bound = closed_bound(GRID.start, datetime(2024, 1, 8, 15), 6 * 3600, 2 * 3600)
@@ -816,12 +749,6 @@ def closed_bucket_copy(spark, d):
     return c.filter(F.col("exposure_ts") < F.lit(bound).cast("timestamp_ntz"))
 
 
-@query("SELECT 'm' AS metric, 'x' AS method_config_id, 0.05::DOUBLE AS fpr")
-def find_calibration(spark, d):
-    runs = spark.createDataFrame([("m", "x", 0.05, "ok", 1, 0.2), ("m", "x", 0.05, "ok", 2, 0.05), ("m", "x", 0.05, "failed", 3, 0.9), ("m", "x", 0.1, "ok", 4, 0.3)], "metric string, method_config_id string, alpha double, status string, created_at int, fpr double")
-    return readout.find_calibration(runs, 0.05).select("metric", "method_config_id", "fpr")
-
-
 @query("SELECT CASE user_id % 3 WHEN 0 THEN 'control' WHEN 1 THEN 't1' ELSE 't2' END AS variant, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS sum_value, round(sum(value * value), 4) AS sum_value_sq FROM events GROUP BY 1, 2", 4)
 def stream_daily_totals(spark, d):
     """The same daily totals from a stream over the files, run until it has caught up."""
@@ -845,3 +772,6 @@ def stream_exposures(spark, d):
     run = exposures(stream, "user_id", demo.variant(), "ts").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
+
+
+from trialweave.plans import readings  # noqa: E402, F401  (registers more of them)

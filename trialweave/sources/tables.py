@@ -232,5 +232,21 @@ def read_jdbc(spark: SparkSession, url: str, relation: str, partition: tuple[str
     return reader.load()
 
 
+# Driver classes and ports of the warehouses that are read by JDBC.
+WAREHOUSES = {
+    "postgresql": ("org.postgresql.Driver", 5432), "mysql": ("com.mysql.cj.jdbc.Driver", 3306), "clickhouse": ("com.clickhouse.jdbc.ClickHouseDriver", 8123)}
+
+
+def warehouse(kind: str, host: str, database: str, user: str | None = None, password: str | None = None, port: int | None = None, schema: str | None = None, **options) -> dict[str, str]:
+    """Options for :func:`read_jdbc` of a warehouse; PostgreSQL is addressed by schema, the others by database."""
+    if kind not in WAREHOUSES:
+        raise ValueError(f"a warehouse is one of {list(WAREHOUSES)}")
+    driver, usual = WAREHOUSES[kind]
+    out = {"url": f"jdbc:{kind}://{host}:{port or usual}/{database}", "driver": driver, "pushDownPredicate": "true", "pushDownAggregate": "true", "fetchsize": "10000"}
+    if kind == "postgresql" and schema:
+        out["sessionInitStatement"] = f"SET search_path TO {schema}"
+    return out | ({"user": user} if user else {}) | ({"password": password} if password else {}) | {k: str(v) for k, v in options.items()}
+
+
 def has_column(df: DataFrame, column: str) -> bool:
     return column in df.columns

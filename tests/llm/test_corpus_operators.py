@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empties, ties, repeats and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -359,6 +360,69 @@ def test_language_accuracy(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in zip(out.doc_id, out.held_out))
 
 
+def plain_grams(text):
+    """Counts of a text's hashed byte 2- and 3-grams, one at a time."""
+    body = b" " + bytes(b | 32 if 65 <= b <= 90 or 97 <= b <= 122 else b if b >= 128 else 32 for b in text.lower().encode()) + b"  "
+    out, bits = [0.0] * langid.DIMENSIONS, 32 - (langid.DIMENSIONS.bit_length() - 1)
+    for i in range(len(body) - 2):
+        two = body[i] << 8 | body[i + 1]
+        if two != 0x2020:
+            out[(two * 2654435761 & 0xFFFFFFFF) >> bits] += 1
+            out[((two << 8 | body[i + 2]) + 1) * 2246822519 % 2**32 >> bits] += 1
+    return out
+
+
+def plain_clusters(rows):
+    """Spherical k-means as it is defined, with loops: starts far apart, then means of the nearest."""
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+
+    def unit(v):
+        size = math.sqrt(dot(v, v))
+        return [x / max(size, 1e-12) for x in v]
+
+    def middle(group):
+        return unit([sum(c) / len(group) for c in zip(*group)])
+
+    centers = [middle(rows)]
+    while len(centers) < min(langid.CENTROIDS, len(rows)):
+        centers.append(min(rows, key=lambda v: max(dot(v, c) for c in centers)))
+    for _ in range(langid.ROUNDS):
+        groups = [[] for _ in centers]
+        for v in rows:
+            groups[max(range(len(centers)), key=lambda k: dot(v, centers[k]))].append(v)
+        centers = [middle(g) if g else c for g, c in zip(groups, centers)]
+    return centers
+
+
+def test_language_by_brute_force(spark):
+    """The whole of language ID against a version with loops, on a table small enough that every row is in the sample."""
+    rng = random.Random(6)
+    words = {"en": "the of and house garden with water tree".split(), "de": "der die und haus garten mit wasser baum ü".split(), "fr": "le la et maison jardin avec l'eau arbre é".split()}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(1, 12))), lang) for i, lang in enumerate(rng.choice(list(words)) for _ in range(60))] + [(90, None, "en"), (91, "", "de"), (92, "12", None), (93, "Wasser, 3 Baum!", None)]
+    learn = [(t or "", lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    grams = [plain_grams(t) for t, _ in learn]
+    idf = [math.log((1 + len(learn)) / (1 + sum(g[k] > 0 for g in grams))) + 0.05 for k in range(langid.DIMENSIONS)]
+
+    def vector(g):
+        v = [math.log1p(n) * w for n, w in zip(g, idf)]
+        size = math.sqrt(sum(x * x for x in v))
+        return [x / max(size, 1e-12) for x in v]
+
+    centers = {lang: plain_clusters([vector(g) for g, (t, own) in zip(grams, learn) if own == lang and any(g)]) for lang in words}
+    got = {r.doc_id: r for r in langid.language_id(docs(spark, rows)).collect()}
+    for i, t, _ in rows:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        v = vector(plain_grams(t))
+        best = {lang: max(sum(x * y for x, y in zip(v, c)) for c in own) for lang, own in centers.items()}
+        lang = max(best, key=best.get)
+        second = sorted(best.values())[-2]
+        assert got[i].score == pytest.approx(max(0.0, best[lang]), abs=2e-3), t
+        assert got[i].lang_pred == lang or best[lang] - second < 2e-3
+
+
 def test_language_without_letters(spark):
     rows = [(i, t, lang) for i in range(40) for t, lang in (("the house and the garden", "en"), ("das Haus und der Garten", "de"))]
     rows = [(k, t, lang) for k, (_, t, lang) in enumerate(rows)] + [(900, None, "en"), (901, "12 34 !", "de"), (902, "", None), (903, "١٢", None), (904, "一二三四五", None)]

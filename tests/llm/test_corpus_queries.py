@@ -1,10 +1,14 @@
 """Registered corpus queries against their SQL, and the pipeline stage by stage."""
 
+import zlib
+
 import duckdb
+import numpy as np
 import pytest
+from test_corpus_operators import brute_near, library
 
 import corpus_pipeline
-from trialweave.llm import langid, minhash, queries
+from trialweave.llm import langid, queries
 from trialweave.llm.line_dedup import ORACLE
 
 SF = "/root/testdata/sf0.001"
@@ -48,9 +52,17 @@ def test_pipeline_stages(spark, tmp_path):
     con.register("documents", documents)
     assert got == {r[0]: r[3] for r in con.sql(ORACLE).fetchall()}
     assert all(r.n_chars == len(r.text) for r in kept[2].collect())
-    near = {r.doc_id: r.kept for r in minhash.near_dedup(kept[2]).collect()}
-    assert {r.doc_id for r in kept[3].collect()} == {i for i, k in near.items() if k}
-    assert {r.doc_id for r in kept[4].collect()} == {r.doc_id for r in kept[3].collect()}
+    near = brute_near([(r.doc_id, r.text) for r in kept[2].collect()])
+    assert {r.doc_id for r in kept[3].collect()} == {i for i, (_, root) in near.items() if i == root}
+    texts, pieces, tool, held = {r.doc_id: r.text for r in kept[3].collect()}, {}, library(), {}
+    for r in kept[4].collect():
+        pieces[r.doc_id, r.start] = (r.length, r.ids_crc32)
+        held[r.sequence_id] = held.get(r.sequence_id, 0) + r.length
+    want = {}
+    for i, text in texts.items():
+        ids = [*tool.encode(text or "", add_special_tokens=False).ids, 0]
+        want |= {(i, k): (len(ids[k:k + 2048]), zlib.crc32(np.array(ids[k:k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048)}
+    assert pieces == want and max(held.values()) <= 2048 and len(held) <= 1.02 * -(-sum(held.values()) // 2048) + 1
     assert corpus_pipeline.run(spark, SF).count() == kept[4].count()
 
 

@@ -87,15 +87,17 @@ def cuped(df: DataFrame, test_type: str = "absolute", interval: str = "delta", a
 
 def ratio_delta(df: DataFrame, test_type: str = "absolute", interval: str = "delta", alpha: float = 0.05, num: str = "num", den: str = "den") -> DataFrame:
     """Ratio of means with the variance of its linearisation; population moments throughout."""
-    ratio, var = [], []
+    # Each step is a projection of its own, so that none stands in the next one several times.
+    df = df.withColumns({f"value_{k}": div(_c(f"mean_{num}_{k}"), _c(f"mean_{den}_{k}")) for k in (1, 2)})
+    spread = {}
     for k in (1, 2):
-        r = div(_c(f"mean_{num}_{k}"), _c(f"mean_{den}_{k}"))
-        md = _c(f"mean_{den}_{k}")
+        r, md = _c(f"value_{k}"), _c(f"mean_{den}_{k}")
         line = floor0(_c(f"m2_{num}_{k}") - 2.0 * r * _c(f"c_{num}_{den}_{k}") + r * r * _c(f"m2_{den}_{k}"))
-        ratio.append(r)
-        var.append(div(line, _n(k) * md * md) / _n(k))
-    df = df.withColumns({"value_1": ratio[0], "value_2": ratio[1], "std_1": F.sqrt(var[0] * _n(1)), "std_2": F.sqrt(var[1] * _n(2))})
-    return _difference_test(df, ratio, var, ratio[0], var[0], -var[0], test_type, interval, alpha)
+        spread[f"__var_{k}"] = div(line, _n(k) * md * md) / _n(k)
+    df = df.withColumns(spread)
+    var = [_c("__var_1"), _c("__var_2")]
+    df = df.withColumns({f"std_{k}": F.sqrt(_c(f"__var_{k}") * _n(k)) for k in (1, 2)})
+    return _difference_test(df, [_c("value_1"), _c("value_2")], var, _c("value_1"), var[0], -var[0], test_type, interval, alpha).drop(*spread)
 
 
 def align(first: DataFrame, second: DataFrame, key: str, roles: list[str]) -> DataFrame:

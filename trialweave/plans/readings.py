@@ -205,11 +205,11 @@ def combined_comoments(spark, d):
 # -- planning -------------------------------------------------------------------------------
 
 
-def _latest_arms() -> str:
-    return """SELECT metric, name_1, arg_max(end_ts, end_ts) AS end_ts, arg_max(mean, end_ts) AS mean, arg_max(std, end_ts) AS std, arg_max(n, end_ts) AS n FROM (
+def _latest_arms(most: int = 22) -> str:
+    return f"""SELECT metric, name_1, arg_max(end_ts, end_ts) AS end_ts, arg_max(mean, end_ts) AS mean, arg_max(std, end_ts) AS std, arg_max(n, end_ts) AS n FROM (
 SELECT 'revenue' AS metric, look, name_1, m1 AS mean, sqrt(v1) AS std, n1 AS n, n1, n2 FROM p UNION ALL SELECT 'signup', look, name_1, k1 / n1, sqrt(k1 / n1 * (1 - k1 / n1)), n1, n1, n2 FROM p
 UNION ALL SELECT 'spend_per_event', look, name_1, m1 / d1, sqrt(greatest(v1 - 2 * (m1 / d1) * c1 + (m1 / d1) * (m1 / d1) * vd1, 0) / (d1 * d1)), n1, n1, n2 FROM p) JOIN looks USING (look)
-WHERE n1 >= 2 AND n2 >= 2 AND std > 0 AND n > 1 GROUP BY 1, 2"""
+WHERE look <= {most} AND n1 >= 2 AND n2 >= 2 AND std > 0 AND n > 1 GROUP BY 1, 2"""
 
 
 @query(f"WITH {BASE} SELECT metric, name_1, end_ts, round(mean, 5) + 0.0 AS mean, round(std, 5) + 0.0 AS std, round(n, 0) + 0.0 AS n FROM ({_latest_arms()})", 5)
@@ -236,11 +236,11 @@ def fraction_mde(spark, d):
     return power.with_solve(arms, "mde", power.fraction_mde, "prop", "n")
 
 
-@query(f"""WITH {BASE}, a AS (SELECT metric, name_1, mean, n, abs(2 * (asin(sqrt(least(mean * 1.01, 1))) - asin(sqrt(mean)))) AS h FROM ({_latest_arms()}) WHERE metric = 'signup' AND mean < 0.95)
+@query(f"""WITH {BASE}, a AS (SELECT metric, name_1, mean, n, abs(2 * (asin(sqrt(least(mean * 1.01, 1))) - asin(sqrt(mean)))) AS h FROM ({_latest_arms(6)}) WHERE metric = 'signup' AND mean < 0.95)
 SELECT metric, name_1, n >= 2 * pow({_SHIFT:.17e} / h, 2) AS powered FROM a""")
 def powered_arms(spark, d):
     """Whether stored arms suffice for a lift of a hundredth."""
-    base = planning.baselines_from_results(results(spark, d).filter("metric = 'signup'")).filter("mean < 0.95")
+    base = planning.baselines_from_results(results(spark, d).filter("metric = 'signup' and look <= 6")).filter("mean < 0.95")
     return planning.sized(base, 0.01).select("metric", "name_1", "powered")
 
 

@@ -86,6 +86,14 @@ def test_score_bounds_solve_their_equations(n1, n2, p1, p2):
     assert lo[0] < (x2 / n2) / (x1 / n1) < hi[0] and score.z_ratio(*a, lo)[0] == pytest.approx(c, abs=1e-5)
 
 
+def test_score_interval_of_all_or_none_has_two_sides():
+    c = critical(0.05)
+    for x1, x2 in ((5.0, 8.0), (0.0, 0.0)):
+        lo, hi = score.interval_difference(*(np.array([v]) for v in (x1, 5.0, x2, 8.0)), c)
+        a, b = (5.0, 8.0) if x1 == 0 else (8.0, 5.0)
+        assert lo[0] == pytest.approx(-c * c / (a + c * c), abs=1e-9) and hi[0] == pytest.approx(c * c / (b + c * c), abs=1e-9)
+
+
 def test_score_at_zero_is_the_pooled_statistic():
     x1, n1, x2, n2 = (np.array([v]) for v in (30.0, 200.0, 45.0, 210.0))
     p = (30 + 45) / 410

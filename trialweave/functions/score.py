@@ -51,7 +51,7 @@ def z_ratio(x1, n1, x2, n2, theta):
 
 def _z(num, var):
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(var > 0, num / np.sqrt(np.where(var > 0, var, 1.0)), np.sign(num) * np.inf)
+        return np.where(var > 0, num / np.sqrt(np.where(var > 0, var, 1.0)), np.where(num == 0, 0.0, np.sign(num) * np.inf))
 
 
 def interval_difference(x1, n1, x2, n2, c):

@@ -88,6 +88,31 @@ t AS (SELECT *, coalesce(pvalue < {alpha!r}, FALSE) AS reject FROM z4_)
 """
 
 
+def score_interval(kind: str) -> str:
+    """The score interval by bisection, outer steps as recursion and inner ones as a fold; both as fixed numbers of halvings."""
+    c = f"{critical(A):.17e}"
+    slope = "CASE WHEN {x} > 0 THEN {x} / greatest({p}, 1e-300) ELSE 0e0 END - CASE WHEN {n} > {x} THEN ({n} - {x}) / greatest(1 - ({p}), 1e-300) ELSE 0e0 END"
+    m = "((s.lo + s.hi) / 2)"
+    if kind == "absolute":
+        delta, low, high = "((lo + hi) / 2)", "-1e0", "1e0"
+        ends = f"{{'lo': greatest(0e0, -d), 'hi': least(1e0, 1 - d)}}"
+        test = f"{slope.format(x='k1', n='n1', p=m)} + {slope.format(x='k2', n='n2', p=f'{m} + d')} > 0"
+        top, var = "k2 / n2 - k1 / n1 - d", "greatest(s * (1 - s), 0) / n1 + greatest((s + d) * (1 - s - d), 0) / n2"
+        out = "v"
+    else:
+        delta, low, high = "((lo + hi) / 2) / greatest(1 - (lo + hi) / 2, 1e-16)", "0e0", "1e0"
+        ends = "{'lo': 0e0, 'hi': least(1e0, 1 / greatest(d, 1e-300))}"
+        test = f"(k1 + k2) / greatest({m}, 1e-300) - CASE WHEN n1 > k1 THEN (n1 - k1) / greatest(1 - {m}, 1e-300) ELSE 0e0 END - CASE WHEN n2 > k2 THEN (n2 - k2) * d / greatest(1 - d * {m}, 1e-300) ELSE 0e0 END > 0"
+        top, var = "k2 / n2 - d * k1 / n1", "greatest(d * s * (1 - d * s), 0) / n2 + d * d * greatest(s * (1 - s), 0) / n1"
+        out = "v / greatest(1 - v, 1e-16) - 1"
+    fold = f"list_reduce(list_transform(range(70), lambda i: {{'lo': 0e0, 'hi': 0e0}}), lambda s, i: CASE WHEN {test} THEN {{'lo': {m}, 'hi': s.hi}} ELSE {{'lo': s.lo, 'hi': {m}}} END, {ends})"
+    return f"""WITH RECURSIVE {BASE}, {z_test(kind)},
+b0_ AS (SELECT {KEYS}, n1, n2, k1, k2, side, {c} * side AS level, 0 AS step, {low} AS lo, {high} AS hi FROM p, (VALUES (1), (-1)) q(side)),
+bs_ AS (SELECT * FROM b0_ UNION ALL SELECT {KEYS}, n1, n2, k1, k2, side, level, step + 1, CASE WHEN z > level THEN (lo + hi) / 2 ELSE lo END, CASE WHEN z > level THEN hi ELSE (lo + hi) / 2 END FROM (
+  SELECT *, CASE WHEN var > 0 THEN ({top}) / sqrt(var) WHEN {top} = 0 THEN 0 ELSE sign({top}) * 'inf'::DOUBLE END AS z FROM (SELECT *, {var} AS var FROM (SELECT *, (f.lo + f.hi) / 2 AS s FROM (SELECT *, {fold} AS f FROM (SELECT *, {delta} AS d FROM bs_ WHERE step < 48)))))),
+e_ AS (SELECT {KEYS}, max(CASE WHEN side = 1 THEN {out.replace('v', '((lo + hi) / 2)')} END) AS lo, max(CASE WHEN side = -1 THEN {out.replace('v', '((lo + hi) / 2)')} END) AS hi FROM bs_ WHERE step = 48 GROUP BY ALL)"""
+
+
 def fieller() -> str:
     z2 = f"{critical(A) ** 2:.17e}"
     s1, s2 = _S

@@ -209,11 +209,21 @@ def ztest_rel(spark, d):
     return closed_form.z_test(fraction_pairs(spark, d), "relative").select(TEST)
 
 
-@query()
+_WEAK = f"CASE WHEN k1 > 0 AND k2 > 0 THEN {critical(A):.17e} * sqrt(1 / k1 + 1 / k2) > 0.5 ELSE TRUE END AS weakly_identified"
+
+
+@query(f"{oracles.score_interval('absolute')} SELECT look, name_1, name_2, {r('effect', 5)}, round(lo, 5) + 0.0 AS left_bound, round(hi, 5) + 0.0 AS right_bound, round(hi - lo, 5) + 0.0 AS ci_length, {r('pvalue', 5)}, reject, {_WEAK} FROM t JOIN e_ USING (look, name_1, name_2) JOIN p USING (look, name_1, name_2)", 5)
 def ztest_score(spark, d):
     return with_score_interval(closed_form.z_test(fraction_pairs(spark, d))).select(*TEST, "weakly_identified")
 
 
+@query(f"{oracles.score_interval('relative')} SELECT look, name_1, name_2, {r('effect', 4)}, round(lo, 4) + 0.0 AS left_bound, round(hi, 4) + 0.0 AS right_bound, {r('pvalue', 4)} FROM t JOIN e_ USING (look, name_1, name_2) JOIN p USING (look, name_1, name_2) WHERE k1 > 0 AND hi < 1e6", 4)
+def ztest_score_relative(spark, d):
+    """The ratio's interval where it has an upper bound."""
+    rows = with_score_interval(closed_form.z_test(fraction_pairs(spark, d), "relative"), "relative")
+    return rows.filter("count_1 > 0 and right_bound < 1e6").select("look", "name_1", "name_2", "effect", "left_bound", "right_bound", "pvalue")
+
+
 @query(oracles.test(oracles.CUPED_ABS))
 def cuped_abs(spark, d):
     return closed_form.cuped(demo.pairs(spark, d, VALUE, True)).select(TEST)

@@ -135,14 +135,12 @@ class WordBpe:
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def learn(self, words) -> dict[str, bytes]:
-        """The ids of ``words`` as little-endian 32-bit integers; common words are remembered."""
-        new = [w for w in words if w not in self.known]
+        """The ids of new ``words`` as little-endian 32-bit integers; common words are remembered."""
+        new = list(words)
         found = dict(zip(new, self.merge(new)))
         if len(self.known) + len(found) > REMEMBERED:
-            held = {w: self.known[w] for w in words if w in self.known}
-            self.known = {}
+            self.known.clear()
             self.spelled.clear()
-            found |= held
         self.known.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
         return found
 
@@ -164,10 +162,20 @@ class WordBpe:
 
     def encoded(self, texts: list[str]) -> list[list]:
         """For each text the ids of its words (bytes objects), as lists for each block."""
-        lists = [list(self.pieces(t)) for t in texts]
-        found = self.learn(dict.fromkeys(w for p in lists for x in p if not isinstance(x, int) for w in x))
-        table = self.known if all(w in self.known for w in found) else {**self.known, **found}
-        return [[[x.to_bytes(4, "little")] if isinstance(x, int) else list(map(table.__getitem__, x)) for x in p] for p in lists]
+        out, open_, new = [], [], {}
+        known = self.known.get
+        for t in texts:
+            out.append(own := [])
+            for x in self.pieces(t):
+                own.append([x.to_bytes(4, "little")] if isinstance(x, int) else list(map(known, x)))
+                if not all(own[-1]):  # a word's ids are never empty
+                    open_.append((own, len(own) - 1, x))
+                    new.update((w, None) for w, ids in zip(x, own[-1]) if ids is None)
+        if new:
+            found = self.learn(new)
+            for own, k, x in open_:
+                own[k] = [found[w] if ids is None else ids for w, ids in zip(x, own[k])]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(b for x in self.encoded([text])[0] for b in x), "<u4")

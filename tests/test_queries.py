@@ -12,7 +12,9 @@ TABLES = "events customer orders"
 #: One of each kind; the rest run in the driver's own comparison.
 SOME = ["cohort_dedup", "arrival_rate", "exposure_count_stream", "grid_schedule", "grid_local_days", "exposed_facts", "unit_metric_sum", "unit_metric_distinct", "arm_comoments",
         "ttest_abs", "ttest_rel_fieller", "ztest_rel", "cuped_rel", "ratio_rel", "paired_cuped_rel", "srm_chi2", "srm_sequential", "holm_adjust", "results_contract",
-        "always_valid_series", "readout_verdicts", "metric_rollup", "bi_latest", "bootstrap_poisson", "placebo_split", "state_reconcile", "stream_daily_totals"]
+        "always_valid_series", "readout_verdicts", "metric_rollup", "bi_latest", "bootstrap_poisson", "placebo_split", "state_reconcile", "stream_daily_totals",
+        "method_paired_ttest", "method_paired_poisson_bootstrap", "placebo_split_peeked", "placebo_split_family", "asn", "ztest_score", "ztest_score_relative", "stored_baselines", "state_sources",
+        "tiered_significance", "seed_column", "stream_exposures", "alpha_grid", "gate_lines", "fraction_mde"]
 
 
 def plain(v):

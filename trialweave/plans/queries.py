@@ -784,4 +784,4 @@ def stream_exposures(spark, d):
     return spark.table(name)
 
 
-from trialweave.plans import readings  # noqa: E402, F401  (registers more of them)
+from trialweave.plans import contracts, readings  # noqa: E402, F401  (they register more)

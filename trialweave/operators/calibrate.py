@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialweave.functions.normal import critical, two_sided
+from trialweave.functions.scratch import saved
 from trialweave.functions.ship import ship
 from trialweave.operators import closed_form
 from trialweave.operators.corrections import best_ratio, family_significance
 from trialweave.operators.moments import arm_moments, pair_up
 from trialweave.operators.state import last_write_wins
 
-#: Placebo masks handled together, in units x masks; units x looks of a panel that is broadcast at most.
-BLOCK_CELLS, PANEL_CELLS = 4_000_000, 8_000_000
+#: Units x looks of a block, and units x masks handled together; units of a block at least, and masks of a task.
+BLOCK_CELLS, LEAST_UNITS, TOGETHER = 1_500_000, 4096, 4096
+#: Units x looks of a panel at most: a permutation of its units is drawn in one task.
+PANEL_CELLS = 400_000_000
 
 
 #: The metric name of rows that hold a family's rates.
@@ -115,28 +118,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _two_arm(mask: np.ndarray, x: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, ...]:
-    """n, sums and sums of squares of both arms for each mask and look; x is centred."""
-    m = mask.astype(float)
-    n = m @ present
-    return n, m @ x, m @ (x * x), present.sum(axis=0) - n, x.sum(axis=0) - m @ x, (x * x).sum(axis=0) - m @ (x * x)
+def _products(kind: str, value: np.ndarray, other: np.ndarray | None) -> np.ndarray:
+    """Columns whose sums over an arm are its moments, look by look; NaN is an absent unit, the rest is centred."""
+    present = ~np.isnan(value)
+    c = np.where(present, value, 0.0)
+    out = [present.astype(float), c, c * c]
+    if other is not None:
+        x = np.where(present, np.nan_to_num(other), 0.0)
+        out += [x, x * x, x * c]
+    return np.hstack(out)
 
 
-def _estimates(kind: str, arrays: dict[str, np.ndarray], mask: np.ndarray, delta: float, relative: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Effects and variances per (mask, look); the treatment is scaled by ``1 + delta``."""
-    v, present = arrays["value"], arrays["present"]
-    shift = np.divide(v.sum(axis=0), np.maximum(present.sum(axis=0), 1))
-    c = np.where(present > 0, v - shift, 0.0)
-    n1, s1, q1, n2, s2, q2 = _two_arm(mask, c, present)
+def _estimates(kind: str, a: list[np.ndarray], b: list[np.ndarray], shift: np.ndarray, shift_d: np.ndarray, delta: float, relative: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Effects and variances from both arms' sums of centred values; the treatment is scaled by ``1 + delta``."""
+    (n1, s1, q1), (n2, s2, q2) = a[:3], b[:3]
     with np.errstate(divide="ignore", invalid="ignore"):
         m1, m2 = s1 / n1 + shift, s2 / n2 + shift
         v1, v2 = np.maximum(q1 / n1 - (s1 / n1) ** 2, 0), np.maximum(q2 / n2 - (s2 / n2) ** 2, 0)
         scale = 1 + delta
         if kind == "cuped":
-            x = np.where(present > 0, arrays["covariate"][:, None] - arrays["covariate"].mean(), 0.0)
-            m = mask.astype(float)
-            xs1, xq1, xy1 = m @ x, m @ (x * x), m @ (x * c)
-            xs2, xq2, xy2 = x.sum(axis=0) - xs1, (x * x).sum(axis=0) - xq1, (x * c).sum(axis=0) - xy1
+            (xs1, xq1, xy1), (xs2, xq2, xy2) = a[3:], b[3:]
             c1, c2 = xy1 - xs1 * s1 / n1, (xy2 - xs2 * s2 / n2) * scale
             d1, d2 = xq1 - xs1**2 / n1, xq2 - xs2**2 / n2
             m2, v2 = m2 * scale, v2 * scale**2
@@ -146,14 +147,8 @@ def _estimates(kind: str, arrays: dict[str, np.ndarray], mask: np.ndarray, delta
             w2 = np.maximum(v2 * n2 - 2 * theta * c2 + theta**2 * d2, 0) / n2**2
             effect, var, base, base_var, cov = a2 - a1, w1 + w2, m1, v1 / n1, -(v1 * n1 - theta * c1) / (n1 - 1) / n1
         elif kind == "ratio":
-            d = np.where(present > 0, arrays["den"], 0.0)
-            shift_d = np.divide(d.sum(axis=0), np.maximum(present.sum(axis=0), 1))
-            d = np.where(present > 0, d - shift_d, 0.0)
-            m = mask.astype(float)
             r, w = [], []
-            for n, s, q, sd, qd, cd, k in (
-                    (n1, s1, q1, m @ d, m @ (d * d), m @ (c * d), 1.0),
-                    (n2, s2, q2, d.sum(axis=0) - m @ d, (d * d).sum(axis=0) - m @ (d * d), (c * d).sum(axis=0) - m @ (c * d), scale)):
+            for (n, s, q, sd, qd, cd), k in ((a, 1.0), (b, scale)):
                 md = sd / n + shift_d
                 mn = (s / n + shift) * k
                 spread = np.maximum((q - s * s / n) * k * k - 2 * mn / md * (cd - s * sd / n) * k + (mn / md) ** 2 * (qd - sd * sd / n), 0)
@@ -178,60 +173,107 @@ def _estimates(kind: str, arrays: dict[str, np.ndarray], mask: np.ndarray, delta
         return effect, np.where(good, var, np.nan)
 
 
+def _numbered(units: DataFrame) -> tuple[DataFrame, int]:
+    """``unit_id`` and its place ``__at`` among the sorted distinct ids, and their number; no task sorts all."""
+    dealt = saved(units.select("unit_id").filter("unit_id is not null").distinct().repartitionByRange(32, "unit_id").withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__m"))
+    starts = sizes.select(F.col("__part").alias("__p"), (F.sum("__m").over(Window.orderBy("__part")) - F.col("__m")).alias("__start"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy("unit_id"))
+    ranked = dealt.withColumn("__rank", rank).join(F.broadcast(starts), F.col("__part") == F.col("__p"))
+    return ranked.select("unit_id", (F.col("__start") + F.col("__rank") - 1).alias("__at")), dealt.count()
+
+
 _ROWS = "iteration long, look int, effect double, se double"
 
 
 def placebo_effects(panel: DataFrame, iterations: int, kind: str = "t", share: float = 0.5, seed: int = 0, delta: float = 0.0, relative: bool = False, looks: list[int] | None = None, universe: DataFrame | None = None) -> DataFrame:
     """(iteration, look, effect, se) of placebo splits of a panel (``unit_id``, ``look``, ``value``, optional ``covariate`` or ``den``).
 
-    A panel of at most ``PANEL_CELLS`` units x looks, counted first, is collected once as
-    arrays and broadcast; a larger one is refused (:func:`placebo_sums` and
-    :func:`split_effects` are distributed).  Iterations are spread over tasks, each mask
-    seeded by its own number, so no result depends on partitioning.  With ``universe``
-    (``unit_id``) splits are drawn over those units, of which the panel may hold some: the
-    members of a family share their splits so.
+    The panel never goes to the driver.  Units are numbered in order and dealt in blocks; each
+    mask, a permutation of the numbers seeded by its own number, is drawn once and dealt as bits
+    of these blocks; a task adds a block's values under its part of the masks, and the sums of
+    all blocks give effects.  So no result depends on partitioning.  Only the looks and their
+    means go to the driver.  A panel of more than ``PANEL_CELLS`` units x looks, whose
+    permutations would outgrow a task, is refused (:func:`placebo_sums` draws none).  With
+    ``universe`` (``unit_id``) splits are drawn over those units, of which the panel may hold
+    some: the members of a family share their splits so.  The effects are a scratch table, so
+    what reads them repeats no split.
     """
     spark: SparkSession = panel.sparkSession
     ship(spark)
+    more = {"cuped": "covariate", "ratio": "den"}.get(kind)
     panel = panel if looks is None else panel.filter(F.col("look").isin(looks))
-    whole = (panel if universe is None else universe).agg(F.count_distinct("unit_id").alias("u")).first()["u"]
-    if (cells := whole * max(1, panel.agg(F.count_distinct("look")).first()[0])) > PANEL_CELLS:
-        raise ValueError(f"a panel of {cells} cells is too large to broadcast; use placebo_sums")
-    data = panel.toPandas().sort_values(["unit_id", "look"])
-    units = np.sort((data if universe is None else universe.select("unit_id").distinct().toPandas())["unit_id"].unique())
-    at = sorted(looks if looks is not None else data["look"].unique())
-    wide = data.pivot(index="unit_id", columns="look", values="value").reindex(index=units, columns=at)
-    present = wide.notna().to_numpy(float)
-    arrays = {"value": wide.fillna(0.0).to_numpy(float), "present": present}
-    if "den" in data:
-        arrays["den"] = data.pivot(index="unit_id", columns="look", values="den").reindex(index=units, columns=at).fillna(0.0).to_numpy(float)
-    if "covariate" in data:
-        arrays["covariate"] = data.groupby("unit_id")["covariate"].first().reindex(units).fillna(0.0).to_numpy(float)
-    shared = spark.sparkContext.broadcast(arrays)
-    n_a = round(len(units) * share)
-
-    def run(batches):
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c)
+    panel = saved(panel.select("unit_id", F.col("look").cast("int").alias("look"), number("value"), *([number(more)] if more else [])))
+    means = {r["look"]: r for r in panel.groupBy("look").agg(F.avg("value").alias("value"), *([F.avg(more).alias(more)] if more else [])).collect()}
+    at = np.array(sorted(looks if looks is not None else means), np.int32)
+    if not len(at):
+        return spark.createDataFrame([], _ROWS)
+    numbered, n = _numbered(panel if universe is None else universe)
+    if (cells := n * len(at)) > PANEL_CELLS:
+        raise ValueError(f"a panel of {cells} cells is too large to permute; use placebo_sums")
+    mean = lambda c: np.array([(means[k][c] if k in means else None) or 0.0 for k in at.tolist()])
+    shift, shift_m = mean("value"), mean(more) if more else np.zeros(len(at))
+    shift_m = shift_m if kind == "ratio" else np.full(len(at), shift_m.mean())
+    block = max(1, min(max(LEAST_UNITS, -(-n // 16)), BLOCK_CELLS // len(at)))
+    n_a, runs = round(n * share), -(-iterations // TOGETHER)
+
+    def draw(batches):
         import pyarrow as pa
 
-        held = shared.value
-        n = len(held["value"])
-        step = max(1, BLOCK_CELLS // max(n, 1))
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for a in range(0, len(ids), step):
-                own = ids[a:a + step]
-                mask = np.zeros((len(own), n), bool)
-                for row, i in zip(mask, own):
-                    row[np.random.default_rng([seed, int(i)]).permutation(n)[:n_a]] = True
-                effect, var = _estimates(kind, held, mask, delta, relative)
+            for i in batch.column(0).to_pylist():
+                mask = np.zeros(n, bool)
+                mask[np.random.default_rng([seed, i]).permutation(n)[:n_a]] = True
+                parts = [np.packbits(mask[k:k + block]).tobytes() for k in range(0, max(n, 1), block)]
                 yield pa.RecordBatch.from_pydict({
-                    "iteration": np.repeat(own, len(at)), "look": np.tile(np.array(at, np.int32), len(own)),
-                    "effect": effect.ravel(), "se": np.sqrt(var).ravel()})
+                    "block": np.arange(len(parts)), "run": np.full(len(parts), i // TOGETHER, np.int32), "iteration": np.full(len(parts), i), "bits": pa.array(parts, pa.binary())})
+
+    width = 6 if more else 3
+    names = [f"{arm}{k}" for arm in "ab" for k in range(width)]
+
+    def add(masks, rows):
+        import pyarrow as pa
+
+        ids, first = masks["iteration"].to_numpy(), masks["block"][0].as_py() * block
+        size = max(0, min(block, n - first))
+        where = (rows["__at"].to_numpy() - first) * len(at) + np.searchsorted(at, rows["look"].to_numpy())
+        if len(np.unique(where)) < len(where):
+            raise ValueError("a unit has several rows at one look")
+        value, other = np.full(size * len(at), np.nan), None
+        value[where] = rows["value"].to_numpy(zero_copy_only=False) if len(where) else []
+        value = value.reshape(size, len(at)) - shift
+        if more:
+            other = np.full(size * len(at), np.nan)
+            other[where] = rows[more].to_numpy(zero_copy_only=False) if len(where) else []
+            other = np.nan_to_num(other.reshape(size, len(at))) - shift_m
+        x = _products(kind, value, other)
+        bits = np.frombuffer(b"".join(masks["bits"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        sums = np.empty((2, len(ids), x.shape[1]))
+        step = max(1, BLOCK_CELLS // max(size, 1))
+        for k in range(0, len(ids), step):
+            sums[0, k:k + step] = np.unpackbits(bits[k:k + step], axis=1)[:, :size].astype(float) @ x
+        sums[1] = x.sum(axis=0) - sums[0]
+        columns = sums.reshape(2, len(ids), width, len(at)).transpose(0, 2, 1, 3).reshape(2 * width, -1)
+        return pa.table({"iteration": np.repeat(ids, len(at)), "look": np.tile(at, len(ids)), **dict(zip(names, columns))})
+
+    def finish(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, look, *sums = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            k = np.searchsorted(at, look)
+            effect, var = _estimates(kind, sums[:width], sums[width:], shift[k], shift_m[k], delta, relative)
+            yield pa.RecordBatch.from_pydict({"iteration": ids, "look": look, "effect": effect, "se": np.sqrt(var)})
 
     parts = max(1, min(spark.sparkContext.defaultParallelism, iterations))
-    out = spark.range(0, iterations, 1, parts).mapInArrow(run, _ROWS)
-    clean = lambda c: F.when(~F.isnan(c), F.col(c))
-    return out.select("iteration", "look", clean("effect").alias("effect"), clean("se").alias("se"))
+    masks = spark.range(0, iterations, 1, parts).mapInArrow(draw, "block long, run int, iteration long, bits binary")
+    place = F.floor(F.col("__at") / block).cast("long")
+    rows = panel.join(numbered, "unit_id").select(place.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "__at", "look", "value", *([more] if more else []))
+    added = masks.groupBy("block", "run").cogroup(rows.groupBy("block", "run")).applyInArrow(add, "iteration long, look int, " + ", ".join(f"{c} double" for c in names))
+    out = added.groupBy("iteration", "look").agg(*[F.sum(c).alias(c) for c in names]).mapInArrow(finish, _ROWS)
+    clean = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return saved(out.select("iteration", "look", clean("effect"), clean("se")))
 
 
 def tau2_of(effects: DataFrame, alpha: float) -> float | None:

@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialweave.functions.ship import map_arrow
-from trialweave.llm.common import saved, small_batches
+from trialweave.llm.common import small_batches
 
 #: Hashed n-gram dimensions; centroids per language; rounds of clustering.
 DIMENSIONS, CENTROIDS, ROUNDS = 4096, 4, 8
-#: Labelled rows per language, in expectation, that centroids are fitted on.  Everything else covers all rows.
-SAMPLE = 500
+#: Vectors of one language that the driver holds at most: its centroids.  All rows are learned from.
+SAMPLE = CENTROIDS
+#: Vectors are added as multiples of this, so that sums do not depend on their order.
+GRAIN = 2.0**-30
 #: A text is rejected below this share of the least similarity that a learned text of its length, or shorter, has to
 #: its centroid.  Lengths go by powers of two of the n-grams; ``LENGTHS`` of them.
 REJECT, LENGTHS = 0.6, 32
-#: Sampled texts and beginnings that a length class needs for a threshold of its own.
+#: Learned texts and beginnings that a length class needs for a threshold of its own.
 ENOUGH = 100
 
 #: Bytes of a text that are counted at a time.
@@ -96,15 +98,9 @@ class Model:
         return out
 
 
-def cluster(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from far-apart starts: unit centroids and each row's centroid."""
-    centers = unit(x.mean(axis=0, keepdims=True))
-    while len(centers) < min(CENTROIDS, len(x)):
-        centers = np.vstack([centers, x[(x @ centers.T).max(axis=1).argmin()]])
-    for _ in range(ROUNDS):
-        at = (x @ centers.T).argmax(axis=1)
-        centers = unit(np.vstack([x[at == k].mean(axis=0) if (at == k).any() else c for k, c in enumerate(centers)]))
-    return centers, (x @ centers.T).argmax(axis=1)
+def cluster(sums: np.ndarray) -> np.ndarray:
+    """Unit centroids of a language from the sum of each one's rows."""
+    return unit(sums.astype(np.float64)).astype(np.float32)
 
 
 def held_out(id_col: Column) -> Column:
@@ -115,15 +111,15 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows with a language that :func:`held_out` does not hold out.
 
-    Document frequencies and rows per language are counted over all these rows; at most
-    ``DIMENSIONS`` sums and a count per language go to the driver.  Centroids are fitted on
-    about ``SAMPLE`` rows of each language, chosen by a hash of the id and the text, and
-    each pair of these at most once, so rows that repeat ids or texts do not swell the
-    sample: their vectors go to the driver.  The rejection's thresholds are the least
-    similarities of the same rows and of their beginnings, by length.
+    All these rows count in every step: in document frequencies and rows per language, in
+    the spherical k-means of each language (its mean row, then the row farthest from the
+    centroids so far, then ``ROUNDS`` rounds of means, fewer if nothing moves any more), and
+    in the rejection's thresholds.  A step is one pass over the rows; a task hands on
+    ``DIMENSIONS`` sums a centroid, and the driver gets as many, or one row per language.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
     def frequencies(batches):
         import pyarrow as pa
 
@@ -146,47 +142,94 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     total = sum(sizes.values())
     idf = (np.log((1 + total) / (1 + df)) + 0.05).astype(np.float32)
 
-    drawn = F.xxhash64("id", F.coalesce("text", F.lit("")))
-    lot = F.shiftrightunsigned(drawn, 11) / F.lit(2.0**53)
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE / n)))]) if sizes else None
-    if share is None:
+    names = sorted(sizes)
+    if not names:
         return Model(idf, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
 
-    def sampled(batches):
+    mean, number = _added(rows, idf, names, None)
+    centers = [cluster(mean[g, :1]) for g in range(len(names))]
+    for k in range(1, CENTROIDS):
+        far = _farthest(rows, idf, names, centers)
+        centers = [np.vstack([c, far[g]]) if number[g].sum() > k else c for g, c in enumerate(centers)]
+    for _ in range(ROUNDS):
+        sums, number = _added(rows, idf, names, centers)
+        moved = [np.where(number[g, :len(c), None] > 0, cluster(sums[g, :len(c)]), c) for g, c in enumerate(centers)]
+        if all(map(np.array_equal, moved, centers)):
+            break
+        centers = moved
+    else:
+        number = _added(rows, idf, names, centers, sums=False)[1]
+    held = [(c, lang) for g, lang in enumerate(names) for c, n in zip(centers[g], number[g]) if n]
+    model = Model(idf, np.array([c for c, _ in held], np.float32).reshape(-1, DIMENSIONS), [lang for _, lang in held], np.zeros(LENGTHS))
+    if held:
+        model.least = thresholds(rows, model)
+    return model
+
+
+def _vectors(batches, idf: np.ndarray, names: list[str]):
+    """Unit vectors of (lang, text) rows that have an n-gram, a slice and a language at a time."""
+    place = {lang: g for g, lang in enumerate(names)}
+    for batch in small_batches(batches, 1, **NEED):
+        x = unit(np.log1p(counts(batch.column(1).to_pylist())) * idf)
+        own, some = np.array([place[lang] for lang in batch.column(0).to_pylist()]), x.any(axis=1)
+        for g in np.unique(own[some]).tolist():
+            yield g, x[some & (own == g)]
+
+
+def _added(rows: DataFrame, idf: np.ndarray, names: list[str], centers: list[np.ndarray] | None, sums: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """By language and nearest of its centroids (the first, without any): the sum of the rows' vectors, and their number."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total, number = {}, Counter()
+        for g, x in _vectors(batches, idf, names):
+            at = np.zeros(len(x), int) if centers is None else np.round(x @ centers[g].T, 6).argmax(axis=1)
+            for k in np.unique(at).tolist():
+                slot, own = g * CENTROIDS + k, x[at == k]
+                number[slot] += len(own)
+                if sums:
+                    total[slot] = total.get(slot, 0) + np.rint(own * np.float32(1 / GRAIN)).sum(axis=0, dtype=np.float64).astype(np.int64)
+        for slot, n in number.items():
+            v = total.get(slot, np.zeros(0, np.int64))
+            some = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array([*(slot * DIMENSIONS + some).tolist(), -1 - slot], pa.int64()), pa.array([*v[some].tolist(), n], pa.int64())], ["k", "n"])
+
+    found = map_arrow(rows.select("lang", "text"), run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = (found.column(c).to_numpy() for c in ("k", "n"))
+    total, number = np.zeros(len(names) * CENTROIDS * DIMENSIONS), np.zeros(len(names) * CENTROIDS, np.int64)
+    total[k[k >= 0]] = n[k >= 0] * GRAIN
+    number[-1 - k[k < 0]] = n[k < 0]
+    return total.reshape(len(names), CENTROIDS, DIMENSIONS), number.reshape(len(names), CENTROIDS)
+
+
+def _farthest(rows: DataFrame, idf: np.ndarray, names: list[str], centers: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """Each language's row least like its nearest centroid; of equally far ones, the least vector by its bytes."""
+
+    def run(batches):
         import pyarrow as pa
 
-        for batch in small_batches(batches, 1, **NEED):
-            texts = batch.column(1).to_pylist()
-            x = counts(texts)
-            some = [np.flatnonzero(v) for v in x]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *(pa.array([np.ascontiguousarray(v, t).tobytes() for v in c], pa.binary()) for c, t in ((some, "<i4"), ([v[s] for v, s in zip(x, some)], "<f4")))],
-                ["lang", "id", "k", "n"])
-
-    picked = saved(rows.withColumn("draw", drawn).filter(lot < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "draw"]).select("lang", "text", "id"))
-    seen = sorted(map_arrow(picked, sampled, "lang string, id string, k binary, n binary").collect(), key=lambda r: (r["lang"], r["id"], r["k"], r["n"]))
-    centroids, langs = [], []
-    for lang in sorted(sizes):
-        own = [r for r in seen if r["lang"] == lang and len(r["k"])]
-        if not own:
-            continue
-        x = np.zeros((len(own), DIMENSIONS), np.float32)
-        for v, r in zip(x, own):
-            v[np.frombuffer(r["k"], "<i4")] = np.frombuffer(r["n"], "<f4")
-        x = unit(np.log1p(x) * idf)
-        centers, at = cluster(x)
-        for k, c in enumerate(centers):
-            if (at == k).any():
-                centroids.append(c)
-                langs.append(lang)
-    model = Model(idf, np.array(centroids, np.float32).reshape(-1, DIMENSIONS), langs, np.zeros(LENGTHS))
-    if langs:
-        model.least = thresholds(picked, model)
-    return model
+        best = {}
+        for g, x in _vectors(batches, idf, names):
+            near = np.round((x @ centers[g].T).max(axis=1).astype(np.float64), 6)
+            if g in best and near.min() > best[g][0]:
+                continue
+            for v in x[near == near.min()]:
+                some = np.flatnonzero(v)
+                best[g] = min(best.get(g, (np.inf,)), (near.min(), some.astype("<i4").tobytes(), v[some].astype("<f4").tobytes()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(best), pa.int32()), *(pa.array([b[i] for b in best.values()], kind) for i, kind in enumerate((pa.float64(), pa.binary(), pa.binary())))], ["g", "s", "k", "v"])
+
+    found = map_arrow(rows.select("lang", "text"), run, "g int, s double, k binary, v binary").groupBy("g").agg(F.min(F.struct("s", "k", "v")).alias("r")).collect()
+    out = {}
+    for r in found:
+        out[r["g"]] = np.zeros((1, DIMENSIONS), np.float32)
+        out[r["g"]][0, np.frombuffer(r["r"]["k"], "<i4")] = np.frombuffer(r["r"]["v"], "<f4")
+    return out
 
 
-def thresholds(sample: DataFrame, model: Model) -> np.ndarray:
-    """The least accepted similarity by length class, from the least of the sampled texts and their beginnings.
+def thresholds(rows: DataFrame, model: Model) -> np.ndarray:
+    """The least accepted similarity by length class, from the least of all learned texts and their beginnings.
 
     A longer text is held to what shorter ones reach, at least; a class of fewer than
     ``ENOUGH`` texts to what the next shorter one is, or to half of the least similarity of all.
@@ -203,13 +246,13 @@ def thresholds(sample: DataFrame, model: Model) -> np.ndarray:
             parts = [x for x in parts if has_letter(x)]
             if parts:
                 alike, length = model.alike(parts)
-                for k, v in zip(length.tolist(), alike.max(axis=1).tolist()):
+                for k, v in zip(length.tolist(), np.round(alike.max(axis=1).astype(np.float64), 6).tolist()):
                     least[k] = min(v, least.get(k, 1.0))
                     number[k] += 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(least), pa.int32()), pa.array(list(least.values()), pa.float64()), pa.array([number[k] for k in least], pa.int64())], ["k", "v", "n"])
 
-    found = map_arrow(sample.select("text"), run, "k int, v double, n long").groupBy("k").agg(F.min("v"), F.sum("n")).collect()
+    found = map_arrow(rows.select("text"), run, "k int, v double, n long").groupBy("k").agg(F.min("v"), F.sum("n")).collect()
     least = min((v for _, v, _ in found), default=0.0) / 2
     known = {k: v for k, v, n in found if n >= ENOUGH}
     return REJECT * np.maximum.accumulate([known.get(k, least) for k in range(LENGTHS)])
